@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import simhash
+from stepweave.llm import decontaminate, lsm, packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (simhash.op5_simhash_near_dedup,)}
+    found = (
+        sharding.op4_sharding,
+        simhash.op5_simhash_near_dedup,
+        lsm.op7_exact_dedup,
+        decontaminate.op9_decontamination,
+        packing.op10_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": sharding.OP4_SQL, "op7_exact_dedup": lsm.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
