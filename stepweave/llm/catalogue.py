@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, lsm, packing, sharding, simhash
+from stepweave.llm import decontaminate, lsm, packing, sharding, simhash, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        substring.op2_substring_dedup,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
         lsm.op7_exact_dedup,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.OP4_SQL, "op7_exact_dedup": lsm.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+    return {"op2_substring_dedup": substring.OP2_SQL, "op4_sharding": sharding.OP4_SQL, "op7_exact_dedup": lsm.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}

@@ -58,12 +58,19 @@ def _segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
 @dataclass
 class Tokens:
     """Tokens of a run of documents. first[d]:first[d+1] are those of document d; start and end are byte offsets
-    within the document's text."""
+    within the document's text, raw are the bytes of all texts and at the offsets of the tokens in them."""
 
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    raw: np.ndarray
+    at: np.ndarray
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the first n bytes of every longer token, and that token's index."""
+        long = np.flatnonzero(self.end - self.start > n)
+        return _segments(_BYTES[self.raw], self.at[long], self.at[long] + n, _BYTE_BASE), long
 
     @property
     def doc(self) -> np.ndarray:
@@ -122,7 +129,7 @@ def tokens(column: pa.Array, separators: np.ndarray = SPACE) -> Tokens:
     hashes = _segments(_BYTES[raw], start, end, _BYTE_BASE) if len(raw) else np.zeros(0, np.uint64)
     first = np.searchsorted(start, off).astype(np.int64)
     base = np.repeat(off[:-1], np.diff(first))
-    return Tokens(hashes, start - base, end - base, first)
+    return Tokens(hashes, start - base, end - base, first, raw, start)
 
 
 def sequences(found: Tokens) -> np.ndarray:
