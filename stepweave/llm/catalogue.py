@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, lsm, packing, sharding, simhash, substring
+from stepweave.llm import decontaminate, lsm, packing, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        toxicity.op1_toxicity,
         substring.op2_substring_dedup,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
