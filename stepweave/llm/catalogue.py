@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, lsm, packing, sharding, simhash, substring, toxicity
+from stepweave.llm import decontaminate, lsm, packing, quality, sharding, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         toxicity.op1_toxicity,
         substring.op2_substring_dedup,
+        quality.op3_quality,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
         lsm.op7_exact_dedup,
