@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, lsm, packing, quality, sharding, simhash, substring, toxicity
+from stepweave.llm import decontaminate, html, lsm, packing, quality, sharding, simhash, substring, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality.op3_quality,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
+        token_counts.op6_token_counts,
         lsm.op7_exact_dedup,
+        html.op8_html_extraction,
         decontaminate.op9_decontamination,
         packing.op10_packing,
     )

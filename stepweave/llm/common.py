@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.session import ready
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table."""
@@ -40,12 +42,13 @@ def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
         for batch in batches:
             yield from fn(batch)
 
+    ready(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def partitions(spark: SparkSession) -> int:
     """How many tasks a shuffle of this session feeds."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(int(ready(spark).conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def texts(docs: DataFrame) -> DataFrame:

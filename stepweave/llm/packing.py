@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import table, written
+from stepweave.session import ready
 
 CAPACITY, GROUP, NODES = 2048, 4096, 20_000
 PIECES = "array<struct<doc_id:long,start:long,end:long>>"
@@ -176,6 +177,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
         F.lit(0).cast("long").alias("waste"),
     )
     rest = sized.withColumn("left", F.col("size") % capacity).where("left > 0")
+    ready(docs.sparkSession)
     groups = max(1, -(-sized.count() // group))
     keyed = rest.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", (F.col("size") - F.col("left")).alias("start"), "left")
     piece = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])

@@ -108,7 +108,7 @@ def feature_statistics(sample: DataFrame) -> DataFrame:
             toxic = np.add.reduceat(weights[a:b][doc], at)
             yield pa.RecordBatch.from_arrays([pa.array(packed[at].view(np.int64)), pa.array(kinds.astype(np.int32)), pa.array(toxic), pa.array(np.diff(np.append(at, len(packed))))], ["feature", "kind", "toxic", "n"])
 
-    seen = sample.select("text", F.col("weight").cast("double")).mapInArrow(lambda bs: (r for b in bs for r in run(b)), "feature long, kind int, toxic double, n long")
+    seen = scan(sample.select("text", F.col("weight").cast("double")), run, "feature long, kind int, toxic double, n long")
     return seen.groupBy("feature", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
 
 
