@@ -1,0 +1,69 @@
+"""Sequence operators over ordered lines, as windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
+
+
+def in_order(partition: list[str], order: list[str]) -> WindowSpec:
+    """From the first line of a partition to this one."""
+    return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def block_id(header: Column, lines: WindowSpec) -> Column:
+    """How many headings there were up to this line: 0 before the first block."""
+    return F.sum(header.cast("int")).over(lines).cast("long")
+
+
+def inside_block(header: Column, lines: WindowSpec) -> Column:
+    """Whether a heading stands at or before this line."""
+    return F.max(header).over(lines)
+
+
+def resolved_keyword(keyword: Column, lines: WindowSpec) -> Column:
+    """Given, When and Then stand for themselves, other keywords for the last of them in the block, null if none."""
+    return F.last(F.when(keyword.isin("Given", "When", "Then"), keyword), ignorenulls=True).over(lines)
+
+
+def with_background(lines: DataFrame, partition: str, order: str, is_background: Column) -> DataFrame:
+    """lines with background_of: the last background block (column block) at or before their block."""
+    spec = in_order([partition], [order])
+    return lines.withColumn("background_of", F.last(F.when(is_background, F.col("block")), ignorenulls=True).over(spec))
+
+
+def examples_rows(steps: DataFrame, rows: DataFrame, block: str = "block") -> DataFrame:
+    """Steps once for each Examples row (headers, cells, line_no) that follows them in their block, <header> replaced by
+    the cell, header after header."""
+    r = rows.select(F.col(block).alias("__block"), F.col("line_no").alias("row_line"), "headers", "cells")
+    joined = steps.join(r, (F.col(block) == F.col("__block")) & (F.col("row_line") > F.col("line_no")))
+    pairs = F.arrays_zip(F.slice("headers", F.lit(1), F.least(F.size("headers"), F.size("cells"))), F.slice("cells", F.lit(1), F.least(F.size("headers"), F.size("cells"))))
+    text = F.aggregate(pairs, F.col("text"), lambda t, p: F.replace(t, F.concat(F.lit("<"), p["0"], F.lit(">")), p["1"]))
+    return joined.withColumn("text", text).drop("__block", "headers", "cells")
+
+
+def table_cells(line: Column) -> Column:
+    """Cells of a data-table row; empty ones are dropped before trimming."""
+    return F.transform(F.filter(F.split(line, r"\|"), lambda c: c != ""), F.trim)
+
+
+def tables(lines: DataFrame, partition: str = "path") -> DataFrame:
+    """Lines (partition, line_no, text) that begin with | grouped into runs without gap: (partition, first_line, headers,
+    rows), a row a map of heading to cell."""
+    rows = lines.where(F.startswith(F.col("text"), F.lit("|")))
+    island = F.col("line_no") - F.row_number().over(Window.partitionBy(partition).orderBy("line_no"))
+    grouped = rows.withColumn("island", island).groupBy(partition, "island").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("r"))
+    heads = table_cells(F.col("r")[0]["text"])
+
+    def row(r: Column) -> Column:
+        cells = table_cells(r["text"])
+        n = F.least(F.size("headers"), F.size(cells))
+        return F.map_from_arrays(F.slice("headers", F.lit(1), n), F.slice(cells, F.lit(1), n))
+
+    found = grouped.select(partition, F.col("r")[0]["line_no"].alias("first_line"), heads.alias("headers"), "r")
+    return found.select(partition, "first_line", "headers", F.transform(F.slice("r", F.lit(2), F.size("r")), row).alias("rows"))
+
+
+def line_gap(partition: list[str], order: str = "line_no") -> Column:
+    """Lines since the one before in the partition."""
+    return F.col(order) - F.lag(order).over(Window.partitionBy(*partition).orderBy(order))
