@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -30,3 +31,16 @@ def local_session(name: str = "stepweave", cores: str = "8", **conf: str) -> Spa
         "spark.driver.memory": "4g",
     } | conf
     return ready(SparkSession.builder.appName(name).master(f"local[{cores}]").config(map=settings).getOrCreate())
+
+
+def cut(df):
+    """The frame, computed and kept in the folder of spark.checkpoint.dir, which all executors share; where that is unset
+    (tests), in a new temporary one."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="stepweave-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
