@@ -44,7 +44,7 @@ def examples_rows(steps: DataFrame, rows: DataFrame, block: str = "block") -> Da
 
 def table_cells(line: Column) -> Column:
     """Cells of a data-table row; empty ones are dropped before trimming."""
-    return F.transform(F.filter(F.split(line, r"\|"), lambda c: c != ""), F.trim)
+    return F.transform(F.filter(F.split(line, r"\|"), lambda c: c != ""), lambda c: F.trim(c))
 
 
 def tables(lines: DataFrame, partition: str = "path") -> DataFrame:

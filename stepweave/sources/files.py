@@ -170,6 +170,6 @@ def parse_known_issues(lines: DataFrame) -> DataFrame:
 
 def markup_names(files: DataFrame) -> DataFrame:
     """(name): the different identifiers in quoted values and {extensions} of markup (content)."""
-    places = F.regexp_extract_all("content", F.lit(r'"([^"]*)"|\{([^{}]*)\}'), F.lit(0))
+    places = F.regexp_extract_all("content", F.lit(r'"([^"]*)"|\{([^}]*)\}'), F.lit(0))
     names = files.select(F.explode(places).alias("place")).select(F.explode(F.regexp_extract_all("place", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
     return names.distinct()
