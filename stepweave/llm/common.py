@@ -54,3 +54,14 @@ def partitions(spark: SparkSession) -> int:
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as a long and text as a string, whatever else the frame holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of the frame has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
-from stepweave.llm.common import scan, table, texts
+from stepweave.llm.common import free, scan, table, texts
 
 NGRAM, MIN_TOKENS, SLICE_BYTES = 13, 5, 8 << 20
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -131,27 +131,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """The rows of docs, all columns, whose doc_id shares no window with the benchmark. Rows with a null doc_id
     stay: they can't be told apart."""
-    bad = contamination(docs, benchmark, n).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("__bad"), "left_anti")
+    (name,) = free(docs, "bad")
+    bad = contamination(docs, benchmark, n).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """The rows of docs, all columns, their texts without the shared spans. A doc_id whose rows differ in text is left as
     drop_documents leaves it: spans of one text don't hold for another, so those rows go."""
-    found = contamination(docs, benchmark, n).groupBy("doc_id").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-    several = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.count_distinct("text") > 1).alias("several"))
-    found = found.join(several, "doc_id").select(F.col("doc_id").alias("__id"), F.array_sort("spans").alias("__spans"), "several")
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    of_id, spans, several, new = free(docs, "of_id", "spans", "several", "new")
+    found = contamination(docs, benchmark, n).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias(spans))
+    texts_of = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.count_distinct("text") > 1).alias(several))
+    found = found.join(texts_of, "doc_id").withColumnRenamed("doc_id", of_id)
     text = F.col("text").cast("string")
 
     def step(done, span):
         more = F.when(span["start"] > done["at"], F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int")))).otherwise(done["text"])
         return F.struct(more.alias("text"), F.greatest(done["at"], span["end"]).alias("at"))
 
-    done = F.aggregate("__spans", start, step)
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col("__id"), "left").where("several is null or not several")
-    cut = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn("__cut", cut).select(*(F.col("__cut").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    done = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step)
+    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(of_id), "left").where(f"`{several}` is null or not `{several}`")
+    cut = F.when(F.col(spans).isNull(), text).otherwise(F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
+    return joined.withColumn(new, cut).select(*(F.col(new).alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

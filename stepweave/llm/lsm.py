@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import partitions, table, written
+from stepweave.llm.common import free, partitions, table, written
 from stepweave.llm.textscan import mix
 
 MEMTABLE_ROWS, FANOUT, FILTER_BITS, PROBES = 1 << 16, 8, 16, 4
@@ -122,10 +122,10 @@ class LsmIndex:
         return (runs[0] if len(runs) == 1 else self._merge(runs)) if runs else None
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """docs with the 128-bit digest (high, low) of the text's bytes; null for a null text or doc_id."""
+def digests(docs: DataFrame, high: str = "high", low: str = "low") -> DataFrame:
+    """docs with the 128-bit digest of the text's bytes in two columns, null for a null text or doc_id."""
     text = F.when(F.col("doc_id").isNotNull(), F.col("text").cast("string"))
-    return docs.withColumns({"__high": F.when(text.isNotNull(), F.xxhash64(text)), "__low": F.when(text.isNotNull(), F.xxhash64(F.lit(1), text))})
+    return docs.withColumns({high: F.when(text.isNotNull(), F.xxhash64(text)), low: F.when(text.isNotNull(), F.xxhash64(F.lit(1), text))})
 
 
 def build_index(entries: DataFrame) -> DataFrame:
@@ -148,7 +148,6 @@ def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Digests of all documents, and (doc_id, high, low, keeper, copies) of the copies and their keepers after comparing
     bytes: copies is the number of rows with that doc_id and text."""
     base = digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    base = base.withColumnsRenamed({"__high": "high", "__low": "low"})
     entries = written(base.select("doc_id", "high", "low"))
     index = build_index(entries.withColumn("copies", F.lit(1)))
     hits = written(index.where("copies > 1").select("high", "low"))
@@ -174,17 +173,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without copies: of rows with one text that with the smallest doc_id, and one of
     rows that repeat doc_id and text. Rows with a null text or doc_id stay."""
     _, same = _verified(docs)
-    columns = docs.columns
-    keyed = digests(docs)
-    key = [keyed["doc_id"].cast("long") == F.col("__id"), F.col("__high") == F.col("__h"), F.col("__low") == F.col("__l")]
-    marks = same.select(F.col("doc_id").alias("__id"), F.col("high").alias("__h"), F.col("low").alias("__l"), "keeper", "copies")
-    repeated = marks.where("__id = keeper and copies > 1")
-    gone = marks.where("__id <> keeper or copies > 1")
-    kept = keyed.join(gone.select("__id", "__h", "__l"), key, "left_anti").select(*columns)
+    high, low, of_id, of_high, of_low = free(docs, "high", "low", "of_id", "of_high", "of_low")
+    keyed = digests(docs, high, low)
+    key = (keyed["doc_id"].cast("long") == F.col(of_id)) & (F.col(high) == F.col(of_high)) & (F.col(low) == F.col(of_low))
+    marks = same.select(F.col("doc_id").alias(of_id), F.col("high").alias(of_high), F.col("low").alias(of_low), F.expr("doc_id = keeper").alias("first"), F.expr("copies > 1").alias("again"))
+    names = [of_id, of_high, of_low]
+    kept = keyed.join(marks.where("not first or again").select(*names), key, "left_anti").select(*docs.columns)
+    repeated = marks.where("first and again").select(*names)
     if repeated.isEmpty():
         return kept
-    once = keyed.join(repeated.select("__id", "__h", "__l"), key, "left_semi").dropDuplicates(["doc_id", "__high", "__low"])
-    return kept.unionByName(once.select(*columns))
+    once = keyed.join(repeated, key, "left_semi").dropDuplicates(["doc_id", high, low])
+    return kept.unionByName(once.select(*docs.columns))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

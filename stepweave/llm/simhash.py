@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
-from stepweave.llm.common import scan, table, texts, written
+from stepweave.llm.common import free, scan, table, texts, written
 from stepweave.llm.graph import components
 
 BITS, BLOCK, MAX_DISTANCE = 256, 16, 40
@@ -87,14 +87,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a doc_id with several texts stands for several fingerprints; pairs of those are the same document
     roots = components(near_pairs(reps).select("a", "b"))
     grouped = reps.join(roots, reps.rep == roots.node, "left").select(*_NAMES, F.coalesce("root", "rep").alias("root"))
-    return prints.join(grouped, _NAMES, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
+    return prints.join(grouped, _NAMES, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("group_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose doc_id near_duplicates keeps; rows that share a doc_id share its fate."""
     fate = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    losers = fate.where("not kept").select(F.col("doc_id").alias("__loser"))
-    return docs.join(losers, docs["doc_id"].cast("long") == F.col("__loser"), "left_anti")
+    (loser,) = free(docs, "loser")
+    losers = fate.where("not kept").select(F.col("doc_id").alias(loser))
+    return docs.join(losers, docs["doc_id"].cast("long") == F.col(loser), "left_anti")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
-from stepweave.llm.common import partitions, table
+from stepweave.llm.common import free, partitions, table
 
 WINDOW, CHUNK_BYTES = 50, 8 << 20
 _MESSAGE = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -154,14 +154,15 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, with the tokens of repeated_intervals cut from their texts, the white space before
     each cut token too. Rows with a null doc_id stay as they are."""
-    spans = repeated_intervals(docs, n).distinct().groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start_token", "end_token"))).alias("__spans"))
+    of_id, of_key, spans, new = free(docs, "of_id", "of_key", "spans", "new")
+    found = repeated_intervals(docs, n).distinct().groupBy(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_key)).agg(F.array_sort(F.collect_list(F.struct("start_token", "end_token"))).alias(spans))
     text = F.col("text").cast("string")
-    joined = docs.join(spans, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    joined = docs.join(found, (docs["doc_id"].cast("long") == F.col(of_id)) & (F.xxhash64(text) == F.col(of_key)), "left")
     # a token with the white space before it; the white space after the last token stays
     pieces = F.regexp_extract_all(text, F.lit(r"[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("__spans", lambda s: (i >= s["start_token"]) & (i < s["end_token"])))
-    cut = F.when(F.col("__spans").isNull(), text).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("__cut", cut).select(*(F.col("__cut").alias("text") if c == "text" else docs[c] for c in docs.columns))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (i >= s["start_token"]) & (i < s["end_token"])))
+    cut = F.when(F.col(spans).isNull(), text).otherwise(F.array_join(kept, ""))
+    return joined.withColumn(new, cut).select(*(F.col(new).alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,9 @@ class LabelModel:
         self.rates = np.zeros((voters, 2, 2))
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+        if not len(patterns):
+            self.rates[:] = 0.5
+            return self
         bits = self._bits(patterns)
         posterior = np.clip(0.02 + 0.45 * bits.sum(1), 0, 0.98)
         for step in range(self.rounds):
@@ -246,11 +249,13 @@ class Classifier:
     bias: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        """The probability of each document; 0 for a null or empty text."""
         doc, feature, _ = document_features(column)
         hit, at = Lookup(self.features).find(feature)
         d, f = _unique_pairs(doc[hit], at)
         z = self.bias + np.bincount(d, self.weights[f], minlength=len(column))
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        full = np.array(pc.fill_null(pc.binary_length(column), 0)) > 0
+        return np.where(full, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
 
 
 def fit_linear(doc: np.ndarray, feature: np.ndarray, docs: int, features: int, target: np.ndarray, weight: np.ndarray, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -331,7 +336,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in ts.chunks(batch.column(1)):
             column = batch.column(1).slice(a, b - a)
-            scores = np.where(np.array(pc.fill_null(pc.binary_length(column), 0)) > 0, shared.value.scores(column), 0.0)
+            scores = shared.value.scores(column)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores), pa.array(scores >= 0.5)], ["doc_id", "score", "toxic"])
 
     return scan(texts(docs), run, "doc_id long, score double, toxic boolean")
