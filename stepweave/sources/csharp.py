@@ -35,7 +35,7 @@ _KEYWORDS = frozenset(
 _TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<directive>^[ \t]*\#[^\n]*)
     |(?P<raw>\$*"{3,})|(?P<string>(?:\$@|@\$|\$|@)?")|(?P<char>'(?:\\.[^'\n]*|[^'\\\n])')
-    |(?P<name>@?[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<sign>=>|::|\?\?|&&|\|\||[<>=!]=|.)""",
+    |(?P<name>@?[^\W\d]\w*)|(?P<number>\d\w*(?:\.\d\w*)?)|(?P<sign>=>|::|\?\?|&&|\|\||[<>=!]=|.)""",
     re.X | re.S | re.M,
 )
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{1,4}|.)", re.S)
