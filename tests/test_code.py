@@ -84,7 +84,7 @@ def unused(spark, settings=None):
 def test_unused_code(spark):
     found = unused(spark)
     assert set(found) == {("Method", "ByName"), ("Method", "Gone"), ("Method", "Step"), ("Interface", "IUnused"), ("Class", "OldAttribute"), ("Class", "Nobody"), ("Class", "Inner")}
-    assert found["Method", "ByName"] == "d.cs:16" and found["Method", "Gone"] is None
+    assert found["Method", "ByName"] == "d.cs:15" and found["Method", "Gone"] is None
     assert ("Method", "Go") not in unused(spark, UnusedCodeSettings(include_public_members=True))
     assert not any(k == "Method" for k, _ in unused(spark, UnusedCodeSettings(analyze_methods=False)))
 
