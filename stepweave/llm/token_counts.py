@@ -27,10 +27,11 @@ from stepweave.llm.common import scan, table, texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words remembered by a worker; the memory is emptied when full, which changes no count.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_NORMAL, _USER_DEFINED, _UNUSED = 1, 4, 5
+_NORMAL, _USER_DEFINED = 1, 4
+_NONE = float("-inf")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -98,7 +99,7 @@ class Vocabulary:
         for piece in user:
             self.scores[piece] = float(np.float32(len(piece.encode()) * high - 0.1))
         #: below this, sums of whole scores are exact in 32-bit floats
-        self.whole = all(s.is_integer() for s in self.scores.values())
+        self.whole = bool(self.scores) and all(s.is_integer() for s in self.scores.values())
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.scores.items():
@@ -108,38 +109,46 @@ class Vocabulary:
 
     def count(self, word: str) -> int:
         """Pieces of the best segmentation of a word whose spaces are SPACE."""
-        best = self._viterbi(word, float) if self.whole else None
-        return best if best is not None else self._viterbi(word, np.float32)
+        if self.whole and (count := self._known(word)):
+            return count
+        return self._viterbi(word)
 
-    def _viterbi(self, word: str, number: type) -> int | None:
-        """None if float sums could differ from those of 32-bit floats."""
+    def _known(self, word: str) -> int:
+        """The count of a segmentation without unknown characters, whose sums are exact in any floats; 0 if there is none.
+        Matches come by their end, the longest first, so the first of equals is kept."""
+        n = len(word)
+        score_to, pieces = [_NONE] * (n + 1), [0] * (n + 1)
+        score_to[0] = 0.0
+        for end, (length, score) in self.automaton.iter(word):
+            end += 1
+            candidate = score_to[end - length] + score
+            if candidate > score_to[end]:
+                score_to[end] = candidate
+                pieces[end] = pieces[end - length] + 1
+        return pieces[n] if score_to[n] > -(1 << 24) else 0
+
+    def _viterbi(self, word: str) -> int:
+        """In 32-bit floats, with unknown characters."""
         n = len(word)
         at_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         single = [False] * n
         for end, (length, score) in self.automaton.iter(word) if self.scores else ():
             at_end[end + 1].append((length, score))
-            if length == 1:
-                single[end] = True
-        if number is float and not all(single):
-            return None
-        score_to: list = [number(0)] + [None] * n
+            single[end] |= length == 1
+        score_to: list = [np.float32(0)] + [None] * n
         pieces, unknown = [0] * (n + 1), [False] * (n + 1)
         for end in range(1, n + 1):
             best, count, unk = None, 0, False
-            # the longest match begins first
             for length, score in sorted(at_end[end], reverse=True):
-                start = end - length
-                candidate = score_to[start] + number(score)
+                candidate = score_to[end - length] + np.float32(score)
                 if best is None or candidate > best:
-                    best, count, unk = candidate, pieces[start] + 1, False
+                    best, count, unk = candidate, pieces[end - length] + 1, False
             if not single[end - 1]:
-                candidate = score_to[end - 1] + number(self.unknown)
+                candidate = score_to[end - 1] + np.float32(self.unknown)
                 if best is None or candidate > best:
                     size = len(word[end - 1].encode()) if self.byte_fallback else 0 if unknown[end - 1] else 1
                     best, count, unk = candidate, pieces[end - 1] + size, True
             score_to[end], pieces[end], unknown[end] = best, count, unk
-        if number is float and score_to[n] < -(1 << 24):
-            return None
         return pieces[n]
 
 
