@@ -3,14 +3,16 @@
 Sizes are white-space tokens. Pieces of CAPACITY tokens are cut from longer documents and fill a sequence alone; the
 remainders are spread by a hash of doc_id over groups of about GROUP documents, each packed by branch and bound: around
 the largest remaining piece, undominated fillings are tried, best fit first; a branch ends when its waste exceeds what a
-solution with one sequence less than the incumbent can have. Best-fit decreasing gives the first incumbent. The search
-of a group stops after NODES steps and keeps its incumbent.
+solution with one sequence less than the incumbent can have. Fillings are built one by one from the sums that the
+remaining pieces can reach, so none is begun in vain. Best-fit decreasing gives the first incumbent. The search of a
+group stops after NODES fillings, or STEPS times as many steps of building them, and keeps its incumbent.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from stepweave.llm.common import table, written
 from stepweave.session import ready
 
 CAPACITY, GROUP, NODES = 2048, 4096, 20_000
+#: Steps of building fillings for each of NODES.
+STEPS = 100
 PIECES = "array<struct<doc_id:long,start:long,end:long>>"
 
 
@@ -59,29 +63,47 @@ class _Search:
     """Depth-first bin completion over counts of sizes."""
 
     def __init__(self, sizes: list[int], capacity: int, nodes: int):
-        self.capacity, self.nodes = capacity, nodes
+        self.capacity, self.nodes, self.steps = capacity, nodes, STEPS * nodes
         self.values = sorted(set(sizes))
         index = {s: i for i, s in enumerate(self.values)}
         self.count = [0] * len(self.values)
         for s in sizes:
             self.count[index[s]] += 1
-
-    def fillings(self, room: int, waste: int) -> list[tuple[int, ...]]:
-        """Undominated sets of remaining sizes (as indexes, descending) that leave at most waste of room."""
-        out: list[tuple[int, tuple[int, ...]]] = []
-        stack: list[tuple[int, int, tuple[int, ...]]] = [(bisect_right(self.values, room) - 1, room, ())]
-        while stack and self.nodes > 0:
-            self.nodes -= 1
-            top, left, chosen = stack.pop()
-            fit = min(top, bisect_right(self.values, left) - 1)
-            while fit >= 0 and self.count[fit] <= (chosen.count(fit) if fit in chosen else 0):
-                fit -= 1
-            if left <= waste and not self._dominated(chosen, left):
-                out.append((left, chosen))
-            if fit >= 0:
-                stack.append((fit - 1, left, chosen))
-                stack.append((fit, left - self.values[fit], (*chosen, fit)))
-        return [c for _, c in sorted(set(out), key=lambda x: (x[0], tuple(-i for i in x[1])))]
+        # at random: the sizes that remain stay mixed and can still fill the last bins
+        self.order = list(range(len(self.values)))
+        Random(0).shuffle(self.order)
+
+    def fillings(self, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+        """Undominated sets of remaining sizes (as indexes) that leave at most waste of room, least left
+        first; none is built before it is asked for, so what is asked for next must find the counts as they were."""
+        reach = self._reach(room)
+        for left in range(max(0, min(waste, room)) + 1):
+            stack: list[tuple[int, int, tuple[int, ...]]] = [(len(self.order), room - left, ())] if reach[-1] >> room - left & 1 else []
+            while stack and self.steps > 0:
+                self.steps -= 1
+                at, need, chosen = stack.pop()
+                if not need:
+                    if not self._dominated(chosen, left):
+                        reach.clear()  # a deep search would hold many
+                        yield chosen
+                        reach = self._reach(room)
+                    continue
+                # only what the sizes before can complete: every path ends in a set
+                i = self.order[at - 1]
+                for n in range(min(self.count[i], need // self.values[i]) + 1):
+                    if reach[at - 1] >> need - n * self.values[i] & 1:
+                        stack.append((at - 1, need - n * self.values[i], chosen + (i,) * n))
+
+    def _reach(self, room: int) -> list[int]:
+        """For each number of sizes, in the search's order, the sums up to room of remaining pieces of these, as bits."""
+        self.steps -= len(self.order)
+        sums, within = 1, (1 << room + 1) - 1
+        out = [sums]
+        for i in self.order:
+            for _ in range(min(self.count[i], room // self.values[i])):
+                sums |= sums << self.values[i] & within
+            out.append(sums)
+        return out
 
     def _dominated(self, chosen: tuple[int, ...], left: int) -> bool:
         """Whether a remaining piece fits beside the chosen, or in place of a smaller one of them."""
@@ -110,13 +132,23 @@ class _Search:
             top = next(i for i in range(len(self.count) - 1, -1, -1) if self.count[i])
             self.count[top] -= 1
             allow = (incumbent - 1) * self.capacity - total - wasted
-            options = self.fillings(self.capacity - self.values[top], allow) if allow >= 0 else []
+            options = self.fillings(self.capacity - self.values[top], allow) if allow >= 0 else iter(())
             self.count[top] += 1
-            path.append((iter([(top, *o) for o in options]), wasted, None))
+            path.append((around(top, options), wasted, None))
+
+        def around(top: int, options: Iterator[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+            while True:
+                self.count[top] -= 1
+                option = next(options, None)
+                self.count[top] += 1
+                if option is None:
+                    return
+                yield (top, *option)
 
         if n:
             expand()
-        while path and self.nodes > 0:
+        while path and self.nodes > 0 and self.steps > 0:
+            self.nodes -= 1
             options, before, current = path.pop()
             if current is not None:
                 take(current, -1)

@@ -318,6 +318,15 @@ def test_packing_keeps_its_incumbent_when_steps_run_out():
     assert sorted(i for b in bins for i in b) == list(range(400)) and len(bins) <= len(packing.best_fit(sizes, 1000))
 
 
+@pytest.mark.parametrize("low, high, n", [(400, 700, 4096), (300, 900, 4096), (100, 800, 1000)])
+def test_packing_search_improves_groups_of_production_size(low, high, n):
+    r = random.Random(1)
+    sizes = [r.randint(low, high) for _ in range(n)]
+    bins = packing.pack(sizes)
+    assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= packing.CAPACITY for b in bins)
+    assert len(bins) < len(packing.best_fit(sizes, packing.CAPACITY))
+
+
 def test_documents_are_packed_whole(spark):
     r = random.Random(8)
     rows = [(i, text(i, r.randrange(1, 90))) for i in range(300)] + [(None, "no key"), (500, None), (501, " \n "), (7, "again")]
