@@ -1,31 +1,35 @@
 """Near-duplicate documents by SimHash and pigeonhole blocks.
 
 A fingerprint has BITS bits; bit i is what more than half of the document's content tokens have as bit i of their hash.
-It is split into blocks of BLOCK bits. Two fingerprints of fewer differing bits than there are blocks share a block for
-certain; up to MAX_DISTANCE nearly all do (see README for measured recall). Documents of equal fingerprint are
-one row before the join, so a group of thousands of copies costs no pairs; pairs that share a block are verified by
-their Hamming distance, with no cap on partners.
+It is split into blocks of BLOCK bits, each with a radius; radii and blocks add up to MAX_DISTANCE + 1, so two
+fingerprints within MAX_DISTANCE differ by no more than the radius in some block, and no pair is lost. Documents of equal
+fingerprint are one row before the search, so a group of thousands of copies costs no pairs; candidates are verified by
+their Hamming distance, with no cap on partners. Every two slices of SLICE fingerprints meet in a task of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
 from stepweave.llm.common import free, scan, table, texts, written
 from stepweave.llm.graph import components
+from stepweave.session import ready
 
 BITS, BLOCK, MAX_DISTANCE = 256, 16, 40
 #: Tokens of fewer bytes are mostly function words, which any two documents of a language share.
 MIN_TOKEN_BYTES = 4
 #: A document of fewer content tokens has the hash of its whole token sequence as fingerprint.
 MIN_FEATURES = 8
+#: Fingerprints of a slice, the least number of slices, and candidates that are verified at once.
+SLICE, SLICES, PAIRS = 1 << 17, 6, 1 << 20
 WORDS = BITS // 64
 _NAMES = [f"f{i}" for i in range(WORDS)]
 
@@ -56,22 +60,73 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return scan(texts(docs), run, "doc_id long, " + ", ".join(f"{n} long" for n in _NAMES))
 
 
-def _blocks() -> list[Column]:
-    """The blocks with their position, as one long each."""
-    per = 64 // BLOCK
-    return [F.shiftrightunsigned(_NAMES[i // per], BLOCK * (i % per)).bitwiseAND(F.lit((1 << BLOCK) - 1)) + F.lit(i << BLOCK) for i in range(BITS // BLOCK)]
+def _radii() -> list[int]:
+    """The radius of each block. If all blocks differed by more, the distance would be above MAX_DISTANCE."""
+    blocks = BITS // BLOCK
+    return [(MAX_DISTANCE + 1) // blocks - 1 + (i < (MAX_DISTANCE + 1) % blocks) for i in range(blocks)]
+
+
+def _masks(radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(BLOCK), k)]
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x and of y (fingerprints x WORDS) within MAX_DISTANCE and their distances. A pair may come repeatedly."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows, per = np.arange(len(x)), 64 // BLOCK
+    for block, radius in enumerate(_radii()):
+        a, b = ((f[:, block // per] >> np.uint64(BLOCK * (block % per)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64) for f in (x, y))
+        order = np.argsort(b, kind="stable")
+        size = np.bincount(b, minlength=1 << BLOCK)
+        start = np.cumsum(size) - size
+        for mask in _masks(radius):
+            n = size[a ^ mask]
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(x):
+                # as many rows as make some PAIRS candidates, one at least
+                until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                part = n[at:until]
+                i = np.repeat(rows[at:until], part)
+                if len(i):
+                    j = order[np.arange(len(i)) + np.repeat(start[a[at:until] ^ mask] - (np.cumsum(part) - part), part)]
+                    distance = np.bitwise_count(x[i, 0] ^ y[j, 0]).astype(np.int64)
+                    for w in range(1, WORDS):
+                        near = distance <= MAX_DISTANCE
+                        i, j = i[near], j[near]
+                        distance = distance[near] + np.bitwise_count(x[i, w] ^ y[j, w])
+                    near = distance <= MAX_DISTANCE
+                    found.append((i[near], j[near], distance[near]))
+                at = until
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    i, j, distance = (np.concatenate(c) for c in zip(*found))
+    return i, j, distance
 
 
 def near_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b, distance), a < b, of rows (rep, f0, ...) within MAX_DISTANCE that share a block, each pair once."""
-    spread = prints.select("rep", *_NAMES, F.explode(F.array(*_blocks())).alias("block"))
-    left, right = spread.alias("x"), spread.alias("y")
-    xors = [F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}")) for n in _NAMES]
-    distance = sum((F.bit_count(x) for x in xors[1:]), F.bit_count(xors[0]))
-    per, mask = 64 // BLOCK, (1 << BLOCK) - 1
-    first_shared = F.coalesce(*(F.when(F.shiftrightunsigned(xors[i // per], BLOCK * (i % per)).bitwiseAND(F.lit(mask)) == 0, F.lit(i)) for i in range(BITS // BLOCK)))
-    joined = left.join(right, (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep")) & (distance <= MAX_DISTANCE))
-    return joined.where(first_shared == F.shiftright("x.block", BLOCK)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), distance.cast("int").alias("distance"))
+    """(a, b, distance), a < b, of all rows (rep, f0, ...) within MAX_DISTANCE, each pair once."""
+    spark = ready(prints.sparkSession)
+    slices = max(SLICES, -(-prints.count() // SLICE))
+    own = F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int")
+    # the task of slices p <= q has the rows of both
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda o: F.least(o, own) * slices + F.greatest(o, own))
+    spread = prints.select(F.explode(tiles).alias("tile"), own.alias("slice"), "rep", *_NAMES)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        tile, at, rep = (rows.column(i).to_numpy() for i in range(3))
+        words = np.stack([rows.column(3 + i).to_numpy().view(np.uint64) for i in range(WORDS)], 1)
+        p, q = at == tile[0] // slices, at == tile[0] % slices
+        i, j, distance = close_pairs(words[p], words[q])
+        a, b = rep[p][i], rep[q][j]
+        # of a slice with itself every pair is found from both sides
+        keep = a < b if tile[0] // slices == tile[0] % slices else a != b
+        low, high = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+        pairs = np.unique(np.stack([low, high, distance[keep]], 1), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, c], t) for c, t in enumerate((pa.int64(), pa.int64()))] + [pa.array(pairs[:, 2].astype(np.int32))], schema=schema)
+
+    return spread.groupBy("tile").applyInArrow(run, "a long, b long, distance int").groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

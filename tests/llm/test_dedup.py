@@ -97,6 +97,20 @@ def test_near_pairs_recall(spark):
     assert all(p in found for p, d in true.items() if d < simhash.BITS // simhash.BLOCK)
 
 
+def test_near_pairs_are_complete_at_every_distance(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for d in range(simhash.MAX_DISTANCE + 3):
+        for _ in range(12):
+            bits = r.integers(0, 2, simhash.BITS)
+            other = bits.copy()
+            other[r.choice(simhash.BITS, d, replace=False)] ^= 1
+            rows += [(len(rows), *np.packbits(b).view(np.int64).tolist()) for b in (bits,)]
+            rows += [(len(rows), *np.packbits(b).view(np.int64).tolist()) for b in (other,)]
+    found = Counter((x["a"], x["b"], x["distance"]) for x in simhash.near_pairs(spark.createDataFrame(rows, "rep long, f0 long, f1 long, f2 long, f3 long")).collect())
+    assert found == Counter((2 * k, 2 * k + 1, k // 12) for k in range(12 * (simhash.MAX_DISTANCE + 1)))
+
+
 def test_near_duplicates_group_copies_and_leave_others(spark):
     found = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_duplicates(docs(spark, near_rows())).collect()}
     together = sum(found[10 * k + j][0] == 10 * k for k in range(60) for j in range(4))
