@@ -1,7 +1,9 @@
 """Text of web pages without the site's template.
 
-Every element's subtree (tag, attributes, text and subtrees below) is hashed; Spark counts on how many pages of its host a
-subtree occurs; subtrees that recur on many pages of a host are deleted, and what is left becomes text.
+Every element's subtree (tag, attributes, text and subtrees below) is hashed; Spark counts beside how many different main
+contents of its host a subtree occurs, so copies of a page or article count once; subtrees that recur beside many are
+deleted, and what is left becomes text. The main content is the element that holds most of a page's text; what is inside
+it is template only if most main contents of the host have it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from stepweave.llm.common import scan, table, written
 
 #: A subtree is template if it is on so many pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 4, 0.005
+#: So many are enough on any host, however large: a section of it has its own template.
+MANY_PAGES = 50
+#: The share that makes a subtree inside the main content template.
+MAIN_SHARE = 0.5
 #: Template tables of up to so many bytes are broadcast; larger ones are joined.
 BROADCAST_BYTES = 32 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -31,6 +37,11 @@ _BLOCK = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table tbody td tfoot th thead tr ul".split()
 )
 _PAGE = frozenset(("", "html", "body"))
+#: The main content is none of these, and isn't sought in _WHOLE.
+_ASIDE = frozenset("nav header footer aside form menu".split())
+_WHOLE = frozenset("article main p h1 h2 h3 h4 h5 h6 li td pre blockquote table ul ol dl".split())
+#: Mixed into the digest of a subtree inside the main content.
+_INSIDE = 0x9E3779B97F4A7C15
 #: An opening tag of these ends an open element of the others.
 _ENDS = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _ENDS |= {t: {"p"} for t in _BLOCK - set(_ENDS) - {"br", "html", "body"}}
@@ -44,6 +55,8 @@ class Element:
     digest: int = 0
     #: Whether it can be template: it has text below, and isn't the page itself.
     countable: bool = False
+    #: Characters of visible text below.
+    size: int = 0
 
     def close(self) -> None:
         h = blake2b(f"{self.tag} {self.attributes}>".encode("utf-8", "surrogatepass"), digest_size=8)
@@ -51,12 +64,14 @@ class Element:
             if isinstance(child, Element):
                 h.update(b"\x01" + child.digest.to_bytes(8, "little"))
                 self.countable |= child.countable
+                self.size += child.size
             elif text := _SPACE.sub(" ", child).strip():
                 h.update(b"\x02" + text.encode("utf-8", "surrogatepass"))
                 self.countable = True
+                self.size += len(text)
         self.digest = int.from_bytes(h.digest(), "little")
         if self.tag in _HIDDEN:
-            self.countable = False
+            self.countable, self.size = False, 0
 
 
 def parse(source: str) -> Element:
@@ -114,20 +129,38 @@ def elements(root: Element) -> Iterator[Element]:
             todo += e.children
 
 
+def main_content(root: Element) -> Element:
+    """The element that holds more than half of the page's text and isn't cut any smaller; root, if there is none."""
+    at = root
+    while at.tag not in _WHOLE:
+        inner = next((e for e in at.children if isinstance(e, Element) and 2 * e.size > root.size and e.tag not in _ASIDE), None)
+        if inner is None:
+            break
+        at = inner
+    return root if at.tag in _PAGE else at
+
+
 def page_text(root: Element, template: frozenset[int] | set[int]) -> tuple[str, int]:
     """The visible text without the subtrees of template, a line for each block, and how many subtrees were deleted."""
     parts: list[str] = []
     removed = 0
+    main, left_main = main_content(root), Element("", "", [])
+    inside = 0
     todo: list[Element | str] = [root]
     while todo:
         e = todo.pop()
         if isinstance(e, str):
             parts.append(e)
-        elif e.countable and e.tag not in _PAGE and e.digest in template:
+        elif e is left_main:
+            inside = 0
+        elif e.countable and e.tag not in _PAGE and e.digest ^ inside in template:
             removed += 1
             parts.append("\n" if e.tag in _BLOCK else "")
         elif e.tag not in _HIDDEN:
             edge = ["\0"] if e.tag in _BLOCK else []
+            if e is main and e is not root:
+                inside = _INSIDE
+                todo.append(left_main)
             todo += [*edge, *reversed(e.children), *edge]
     lines = "".join(_SPACE.sub(" ", html.unescape(p)) if p not in ("\0", "\n") else "\0" for p in parts).split("\0")
     return "\n".join(x for line in lines if (x := _SPACE.sub(" ", line).strip())), removed
@@ -140,26 +173,40 @@ def hosts(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("html"))
 
 
-def _page_digests(source: str | None) -> set[int]:
-    return {e.digest for e in elements(parse(source or "")) if e.countable and e.tag not in _PAGE}
+def _page_digests(source: str | None) -> tuple[set[int], set[int], int]:
+    """The subtrees, as page_text looks for them: outside and inside the main content; and the digest of that."""
+    root = parse(source or "")
+    main = main_content(root)
+    within = {id(e) for e in elements(main)} if main is not root else set()
+    outside, inside = set(), set()
+    for e in elements(root):
+        if e.countable and e.tag not in _PAGE:
+            inside.add(e.digest ^ _INSIDE) if id(e) in within else outside.add(e.digest)
+    return outside, inside, main.digest
 
 
 def template_subtrees(named: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, digest) of the subtrees on at least min_pages pages of the host and min_share of them. Subtrees without text
-    and the body itself don't count. A page counts once for a subtree; pages without host share nothing."""
+    """(host, digest) of the subtrees beside at least min_pages different main contents of the host and min_share of them,
+    or MANY_PAGES; inside the main contents, in min_pages and MAIN_SHARE of them. Subtrees without text and the body
+    itself don't count. Pages without host share nothing."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, digests = [], []
+        names, digests, mains, places = [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = _page_digests(source)
+            outside, inside, main = _page_digests(source)
+            own = [*outside, *inside]
             names += [host] * len(own)
             digests += own
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.uint64()).view(pa.int64())], ["host", "digest"])
+            mains += [main] * len(own)
+            places += [False] * len(outside) + [True] * len(inside)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.uint64()).view(pa.int64()), pa.array(mains, pa.uint64()).view(pa.int64()), pa.array(places, pa.bool_())], ["host", "digest", "main", "inside"])
 
     usable = named.where("host <> '' and html is not null")
-    seen = scan(usable.select("host", "html"), run, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    size = usable.groupBy("host").agg(F.count("*").alias("all"))
-    return seen.join(size, "host").where(F.col("pages") >= min_share * F.col("all")).select("host", "digest")
+    seen = written(scan(usable.select("host", "html"), run, "host string, digest long, main long, inside boolean").distinct())
+    counted = seen.groupBy("host", "digest", "inside").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    size = seen.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    enough = F.when(F.col("inside"), MAIN_SHARE * F.col("all")).otherwise(F.least(F.lit(float(MANY_PAGES)), min_share * F.col("all")))
+    return counted.join(size, "host").where(F.col("pages") >= enough).select("host", "digest").distinct()
 
 
 def _texts(named: DataFrame, template: DataFrame, broadcast_bytes: int) -> DataFrame:
@@ -181,7 +228,8 @@ def _texts(named: DataFrame, template: DataFrame, broadcast_bytes: int) -> DataF
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         pages, keys, names, digests = [], [], [], []
         for page, key, host, source in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            own = _page_digests(source)
+            outside, inside, _ = _page_digests(source)
+            own = outside | inside
             for out, value in ((pages, page), (keys, key), (names, host)):
                 out += [value] * len(own)
             digests += own
@@ -199,7 +247,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     template of the page's host is deleted, and how many subtrees that took away.
 
     Null and empty pages have the empty text. A URL that is null or has no host gives the host '' and no template. A null
-    page_id is carried. Repeated rows repeat in the result, and count as pages."""
+    page_id is carried. Repeated rows repeat in the result."""
     named = hosts(pages)
     return _texts(named, written(template_subtrees(named, min_pages, min_share)), broadcast_bytes)
 

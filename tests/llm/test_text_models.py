@@ -244,6 +244,17 @@ def test_html_extraction_matches_brute_force(spark):
     assert found[None]["text"] == "broken tags\n<x>" and found[203]["text"] == "plain text"
 
 
+def test_html_keeps_articles_copied_on_a_large_host(spark):
+    nav = lambda i: f"<html><body><nav><a href='/'>Home</a></nav><!-- {i} -->"
+    copied = f"<article><h1>Copied</h1><p>{text(7000, 40)}</p></article>"
+    line = "<p>One sentence that several articles share.</p>"
+    rows = [(i, "http://big.example.com/", f"{nav(i)}<article><p>{text(i, 40)}</p>{line if i < 30 else ''}</article><footer>Big</footer></body></html>") for i in range(400)]
+    rows += [(1000 + i, "http://big.example.com/", f"{nav(i)}{copied}<footer>Big</footer></body></html>") for i in range(300)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[1000 + i] == f"Copied\n{text(7000, 40)}" for i in range(300))
+    assert all(found[i] == text(i, 40) + ("\nOne sentence that several articles share." if i < 30 else "") for i in range(400))
+
+
 def test_html_join_equals_broadcast(spark):
     frame, _ = site(spark)
     frame = frame.union(frame.limit(3)).withColumns({c: frame["url"] for c in ("k", "p", "key", "digest", "subtrees")})
