@@ -227,6 +227,34 @@ def scenario_groups_ranked(spark, d):
     return g.select("project", F.col("ord").alias("doc_id"), "matches", "best_overlap", "step_reuse", "duplicate_type")
 
 
+# The same with the settings that reports use: steps that differ in parameters or small edits match too. Quadratic in a
+# language's documents; no SQL.
+
+
+def production_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = scenarios(spark, d).withColumn("norm_texts", F.transform("step_texts", T.normalize_fuzzy))
+    return D.pairs(s, AnalysisSettings())
+
+
+@query()
+def scenario_overlap_production(spark, d):
+    p = production_pairs(spark, d)
+    return p.select("project", F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "matching", "additional", "overlap", "fuzzy", "match_type", F.size("unique_a").alias("unique_a"), F.size("unique_b").alias("unique_b"), "same_sequence")
+
+
+@query()
+def scenario_duplicate_type_production(spark, d):
+    p = production_pairs(spark, d)
+    kind = D.duplicate_type(F.col("matching"), F.size("a_step_fps"), F.size("b_step_fps"), F.col("overlap"), F.col("match_type"))
+    return p.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), kind.alias("duplicate_type"))
+
+
+@query()
+def scenario_groups_ranked_production(spark, d):
+    g = D.ranked(D.groups(production_pairs(spark, d)))
+    return g.select("project", F.col("ord").alias("doc_id"), "matches", "best_overlap", "best_fuzzy", "step_reuse", "duplicate_type")
+
+
 @query(f"""WITH {SCENARIOS}, keyed AS (
   SELECT project, ord, unnest(list_append(list_transform(range(ceil(len(fps) * (80::DOUBLE / 100::DOUBLE))::BIGINT, least(floor(len(fps) / (80::DOUBLE / 100::DOUBLE)), len(fps) + 10)::BIGINT + 1), lambda t: t || '_' || {SIGNATURE}), 'general_' || len(fps))) AS bucket
   FROM printed WHERE len(fps) >= 3)

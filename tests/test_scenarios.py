@@ -79,3 +79,24 @@ def test_groups_and_blocking(spark):
     assert blocked == {(0, 1), (0, 2), (1, 2)}
     few = AnalysisSettings(max_comparisons_per_project=1)
     assert D.limited(frame(spark, rows), few).where("project = 'p'").count() == 1
+
+
+def test_production_queries_find_varied_scenarios(spark, tmp_path):
+    from stepweave.plans.queries import QUERIES
+
+    base = ["the user opens page 1", "the user types 5 words", "the user saves 7 files", "the page shows 3 rows"]
+    edited = ["the user opens pages 1", "the user typed 5 words", "the user saves 7 filed", "the page shown 3 rows"]
+    rows = [(1, base), (2, [x.replace("1", "2").replace("5", "6").replace("7", "8").replace("3", "4") for x in base]), (3, ["alpha", "bravo", "charlie", "delta"]), (4, edited)]
+    spark.createDataFrame([(i, "\n".join(x), "en", "web") for i, x in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    settings, expected = AnalysisSettings(), {}
+    for i, x in rows:
+        for j, y in rows:
+            if i < j:
+                m = D.compare(*({"step_fps": z, "step_texts": z, "norm_texts": [normalize(t) for t in z]} for z in (x, y)), settings)
+                if max(m.overlap, m.fuzzy) >= settings.scenario_overlap_threshold:
+                    expected[i, j] = (m.overlap, m.fuzzy, m.match_type)
+    assert expected.keys() >= {(1, 2)}
+    found = {(r["a"], r["b"]): (r["overlap"], r["fuzzy"], r["match_type"]) for r in QUERIES["scenario_overlap_production"](spark, str(tmp_path)).collect()}
+    assert found == expected
+    assert {(r["a"], r["b"]) for r in QUERIES["scenario_duplicate_type_production"](spark, str(tmp_path)).collect()} == expected.keys()
+    assert {r["doc_id"] for r in QUERIES["scenario_groups_ranked_production"](spark, str(tmp_path)).collect()} == {a for a, _ in expected}
