@@ -106,63 +106,87 @@ def test_quality_edges(spark):
 TEXTS = ["", " ", "  two  spaces ", "Hello world", "line\nbreaks\n\nand\ttabs", "naïve café — “quoted”", "日本語 텍스트 𝔘nicode \U0001f600", "a" * 300, "x▁y", "1234567890 !!! ???", "\x00odd", " ".join(text(i, 3) for i in range(40))]
 
 
-def test_bpe_counts_equal_the_library():
-    proto = open(token_counts.VOCABULARY, "rb").read()
-    counter = token_counts.Counter(proto)
-    assert [c[1] for c in counter.counts(TEXTS)] == [len(counter.library.encode(t)) for t in TEXTS]
-
-
-def as_unigram(proto: bytes) -> bytes:
-    """The model file with unigram for its kind."""
-    out, at = bytearray(), 0
-    while at < len(proto):
-        start = at
-        key, at = token_counts._varint(proto, at)
-        size, body = token_counts._varint(proto, at)
-        end = body + size
-        if key >> 3 == 2:
-            spec, i = bytearray(proto[body:end]), 0
-            while i < len(spec):
-                field = i
-                k, i = token_counts._varint(spec, i)
-                if k & 7 == 0:
-                    value, j = token_counts._varint(spec, i)
-                    if k >> 3 == 3:
-                        spec[i:j] = b"\x01"
-                    i = j
-                else:
-                    n = {1: 8, 5: 4}.get(k & 7)
-                    if n is None:
-                        n, i = token_counts._varint(spec, i)
-                    i += n
-                assert i > field
-            out += proto[start:at] + _encoded(len(spec)) + spec
-        else:
-            out += proto[start:end]
-        at = end
-    return bytes(out)
+def library(proto: bytes):
+    import sentencepiece
 
+    return sentencepiece.SentencePieceProcessor(model_proto=proto)
 
-def _encoded(n: int) -> bytes:
-    out = b""
-    while n > 127:
-        out, n = out + bytes([n & 127 | 128]), n >> 7
-    return out + bytes([n])
 
+def unigram(pieces: dict[str, float], byte_fallback: bool = False, user: tuple[str, ...] = ()) -> bytes:
+    """A unigram model file without normalisation."""
+    f = token_counts._field
+    one = lambda piece, score, kind: f(1, f(1, piece.encode()) + b"\x15" + np.float32(score).tobytes() + f(3, kind))
+    out = [one("<unk>", 0, 2), *(one(p, x, 1) for p, x in pieces.items()), *(one(p, 0, 4) for p in user)]
+    if byte_fallback:
+        out += [one(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    return b"".join(out) + f(2, f(3, 1) + f(35, int(byte_fallback))) + f(3, f(1, b"identity") + f(3, 1) + f(4, 0) + f(5, 1))
+
+
+def check_counts(proto: bytes, texts: list[str], **options) -> token_counts.Counter:
+    counter = token_counts.Counter(proto, **options)
+    expected = [len(x) for x in library(proto).encode(texts)]
+    assert counter.counts(texts) == expected
+    assert [n for t in texts for n in counter.counts([t])] == expected
+    return counter
+
+
+def test_counts_of_the_public_file_equal_the_library():
+    proto = token_counts.as_unigram(open(token_counts.VOCABULARY, "rb").read())
+    assert token_counts.as_unigram(proto) == proto
+    r = random.Random(2)
+    long = " ".join(r.choice(["$$$%%%", "thinthin", "x" * 300, "é\n\u3042", ""]) + r.choice(text(i, 3).split()) for i in range(9000))
+    check_counts(proto, [*TEXTS, long, *(text(i, 60) for i in range(50))])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_counts_of_random_vocabularies_equal_the_library(seed):
+    r = random.Random(seed)
+    letters = "abcde" if seed % 3 else "abcdefé"
+    # uncovered characters, ties, scores of many or few bits, long texts of large scores
+    pieces = {c: -r.uniform(1, 9) for c in letters if seed % 2 or r.random() < 0.7}
+    if seed % 4 < 2:
+        pieces[token_counts.SPACE] = -r.uniform(1, 9)
+    for _ in range(30):
+        p = r.choice(["", token_counts.SPACE]) + "".join(r.choice(letters) for _ in range(r.randint(1, 4)))
+        cut = r.randint(1, len(p))
+        pieces.setdefault(p, pieces[p[:cut]] + pieces[p[cut:]] if r.random() < 0.4 and p[:cut] in pieces and p[cut:] in pieces else -r.uniform(1, 12))
+    scale = [1.0, 300.0, 2.0**-8][seed % 3]
+    pieces = {p: float(np.float32(round(x) if seed % 5 == 0 else x * scale)) for p, x in pieces.items()}
+    word = lambda: "".join(r.choice(letters + "zñ" * (seed % 2)) for _ in range(r.randint(0, 7)))
+    texts = [" ".join(word() for _ in range(n)) for n in [1, 2, 3, 5, 8, 20] * 40 + [400] * 5 + [9000]]
+    check_counts(unigram(pieces, seed % 4 == 3), texts, remembered=500 if seed % 2 else 1 << 20)
+
+
+def test_counts_with_user_defined_pieces_equal_the_library():
+    r = random.Random(1)
+    pieces = {c: -r.uniform(1, 9) for c in "abcd▁"} | {"ab": -3.5, "▁ab": -4.25, "cd": -2.125}
+    check_counts(unigram(pieces, user=("bc", "ddd")), [" ".join("".join(r.choice("abcd") for _ in range(5)) for _ in range(40)) for _ in range(30)])
+
+
+def brute_token_count(t: str, vocabulary: token_counts.Vocabulary) -> int:
+    """The best segmentation by trying every piece at every character, in exact sums."""
+    s = token_counts.SPACE + t.replace(" ", token_counts.SPACE) if t else ""
+    best = [(0.0, 0)] + [(-1e30, 0)] * len(s)
+    for i in range(len(s)):
+        for j in range(i + 1, min(len(s), i + vocabulary.longest) + 1):
+            if s[i:j] in vocabulary.scores and best[i][0] + vocabulary.scores[s[i:j]] > best[j][0]:
+                best[j] = best[i][0] + vocabulary.scores[s[i:j]], best[i][1] + 1
+        if s[i] not in vocabulary.scores and best[i][0] + float(vocabulary.unknown) > best[i + 1][0]:
+            best[i + 1] = best[i][0] + float(vocabulary.unknown), best[i][1] + len(s[i].encode())
+    return best[-1][1]
 
-def test_viterbi_counts_equal_the_library():
-    import sentencepiece
 
-    proto = as_unigram(open(token_counts.VOCABULARY, "rb").read())
-    library, counter = sentencepiece.SentencePieceProcessor(model_proto=proto), token_counts.Counter(proto)
-    assert not counter.vocabulary.bpe
-    words = sorted({w for t in TEXTS for w in counter.words(t) if w != token_counts.SPACE} | {f"▁{w}" for i in range(300) for w in text(i, 10).split()})
-    assert [counter.vocabulary.count(w) for w in words] == [len(library.encode(w[1:])) for w in words]
+def test_token_count_query_matches_brute_force(spark, tmp_path):
+    rows = [(i, text(i, 30)) for i in range(40)] + [(50, None), (51, ""), (52, "a\nb ñ 日"), (None, "x y"), (50, "again")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    vocabulary = token_counts.Vocabulary(token_counts.as_unigram(open(token_counts.VOCABULARY, "rb").read()))
+    found = Counter(tuple(r) for r in token_counts.op6_token_counts(spark, str(tmp_path)).collect())
+    assert found == Counter((i, brute_token_count(t or "", vocabulary)) for i, t in rows)
 
 
 def test_token_count_edges(spark):
     found = Counter(tuple(r) for r in token_counts.token_counts(awkward(spark)).collect())
-    assert found[3, 0, 0] == 1 and found[6, 0, 0] == 2 and sum(found.values()) == 15
+    assert found[3, 0] == 1 and found[6, 0] == 2 and sum(found.values()) == 15
     assert token_counts.token_counts(empty(spark)).count() == 0
 
 
