@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stepweave.llm import decontaminate, lsm, packing, simhash, toxicity
-from stepweave.llm.common import shared_dir, table
+from stepweave.llm.common import table
+from stepweave.session import shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
