@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.session import ready
+from stepweave.session import ready, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) a new temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="stepweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def written(df: DataFrame) -> DataFrame:
     """The frame, computed once into the shared folder: no lineage is left, so a lost executor costs no recomputation,
     and what reads it knows its size."""
@@ -51,6 +41,19 @@ def partitions(spark: SparkSession) -> int:
     return max(int(ready(spark).conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def smallest(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The n distinct rows of columns with the smallest hash of them, all if there are fewer: a sample that depends on the
+    rows alone. What can't be among them is left out in the scan; only some n rows meet in a task."""
+    some = df.select(*columns)
+    order = F.xxhash64(*columns)
+    distinct = some.agg(F.approx_count_distinct(order, 0.02)).first()[0]
+    share = min(1.0, (3.0 * n + 200) / max(distinct, 1))
+    if share < 1:
+        # three times as many distinct rows are expected, so that fewer than n pass is out of question
+        some = some.where(order < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return some.distinct().orderBy(order, *columns).limit(n)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as a long and text as a string, whatever else the frame holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
-from stepweave.llm.common import scan, table, texts, written
+from stepweave.llm.common import scan, smallest, table, texts, written
 
-#: Bounds of the two fitting samples, in documents, and of the model, in features.
-MAX_LABELLED, MAX_TRAINING, MAX_FEATURES = 20_000, 20_000, 8192
+#: Bounds of the two fitting samples, in documents of different text; parameters of train. Features are mined from these.
+MAX_LABELLED, MAX_TRAINING = 20_000, 20_000
 #: Kinds of feature: the whole token, and token beginnings of so many bytes.
 KINDS = (0, 4, 6, 8, 10)
 FOLDS = 3
@@ -113,14 +114,14 @@ def feature_statistics(sample: DataFrame) -> DataFrame:
 
 
 def significant(statistics: DataFrame, toxic: float, total: float, purity: float) -> list[tuple[int, int]]:
-    """(feature, kind) of the features that toxic documents have far more often, at most MAX_FEATURES, strongest first."""
+    """(feature, kind) of the features that toxic documents have far more often. They come from a bounded sample."""
     p = min(max(toxic / max(total, 1.0), 1e-6), 1 - 1e-6)
     a, n = F.col("toxic"), F.col("n").cast("double")
     term = lambda x, q: F.when(x > 0, x * F.ln(x / (n * q))).otherwise(0.0)
     g = 2 * (term(a, F.lit(p)) + term(n - a, F.lit(1 - p)))
     pure = (a / toxic) / (a / toxic + (n - a) / max(total - toxic, 1.0))
     rows = statistics.select("feature", "kind", g.alias("g"), pure.alias("pure")).where((F.col("g") >= SIGNIFICANCE) & (F.col("pure") >= purity))
-    return [(r[0], r[1]) for r in rows.orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()]
+    return sorted((r[0], r[1]) for r in rows.collect())
 
 
 @dataclass
@@ -142,25 +143,27 @@ class Voters:
         base = 2 + len(PATTERNS)
         return cls(_hashed(SEEDS), hashes[by], (base + np.array([k for _, k in mined], np.int64) * FOLDS + fold)[by], names)
 
+    @cached_property
+    def lookups(self) -> tuple[Lookup, Lookup]:
+        return Lookup(self.seeds), Lookup(self.mined)
+
     def votes(self, column: pa.Array) -> np.ndarray:
         """The vote pattern of each document: bit i is set if voter i says toxic."""
         out = np.zeros(len(column), np.int64)
         doc, feature, kind = document_features(column)
         whole = kind == 0
-        seeds, mined = Lookup(self.seeds), Lookup(self.mined)
-        hit, _ = seeds.find(feature[whole])
+        hit, _ = self.lookups[0].find(feature[whole])
         count = np.bincount(doc[whole][hit], minlength=len(column))
         out |= (count >= 1).astype(np.int64) | (count >= 2).astype(np.int64) << 1
         lower = pc.utf8_lower(column)
+        matches = lambda texts, pattern: np.array(pc.fill_null(pc.match_substring_regex(texts, pattern), False).to_numpy(zero_copy_only=False), bool)
+        # all patterns but the last hold a seed, if only as a part of a token
+        seeded = np.flatnonzero(matches(lower, _SEED))
         for i, pattern in enumerate(PATTERNS):
-            if i == len(PATTERNS) - 1:
-                rows = np.arange(len(column))
-            else:  # these patterns hold a seed
-                rows = np.flatnonzero(count)
+            rows = np.arange(len(column)) if i == len(PATTERNS) - 1 else seeded
             if len(rows):
-                match = pc.fill_null(pc.match_substring_regex(lower.take(pa.array(rows)), pattern), False)
-                out[rows[np.array(match.to_numpy(zero_copy_only=False), bool)]] |= 1 << (2 + i)
-        hit, at = mined.find(feature)
+                out[rows[matches(lower.take(pa.array(rows)), pattern)]] |= 1 << (2 + i)
+        hit, at = self.lookups[1].find(feature)
         np.bitwise_or.at(out, doc[hit], np.int64(1) << self.voter[at])
         d, _ = _unique_pairs(doc[hit], at)
         out |= (np.bincount(d, minlength=len(column)) >= 3).astype(np.int64) << (len(self.names) - 1)
@@ -248,10 +251,14 @@ class Classifier:
     weights: np.ndarray
     bias: float
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        return Lookup(self.features)
+
     def scores(self, column: pa.Array) -> np.ndarray:
         """The probability of each document; 0 for a null or empty text."""
         doc, feature, _ = document_features(column)
-        hit, at = Lookup(self.features).find(feature)
+        hit, at = self.lookup.find(feature)
         d, f = _unique_pairs(doc[hit], at)
         z = self.bias + np.bincount(d, self.weights[f], minlength=len(column))
         full = np.array(pc.fill_null(pc.binary_length(column), 0)) > 0
@@ -274,25 +281,36 @@ def fit_linear(doc: np.ndarray, feature: np.ndarray, docs: int, features: int, t
     return w, float(bias)
 
 
+def _texts_of(docs: DataFrame, picked: DataFrame, *values: str) -> DataFrame:
+    """(text, values) of the picked (doc_id, key, values), each once however many rows have it; picked is no larger than a
+    sample's bound, so it is broadcast and no text but theirs is moved."""
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    rows = keyed.join(F.broadcast(picked), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("text").alias("text"), *(F.max(v).alias(v) for v in values))
+    return written(rows.select("text", *values))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_training: int = MAX_TRAINING) -> tuple[Classifier, LabelModel, Voters]:
-    """The classifier for docs (doc_id, text), with labels (doc_id, toxic) of some of them."""
+    """The classifier for docs (doc_id, text), with labels (doc_id, toxic) of some of them.
+
+    Lexicons are mined from at most max_labelled labelled documents and the linear model is fitted to at most max_training
+    documents, both chosen by a hash of doc_id and text; votes are taken and counted over all documents."""
     spark = docs.sparkSession
-    docs = texts(docs)
+    docs = texts(docs).where("text is not null")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("weight")).where("doc_id is not null and weight is not null")
-    known = known.groupBy("doc_id").agg(F.max("weight").alias("weight"))
-    order = F.xxhash64("doc_id")
-    chosen = known.orderBy(order, "doc_id").limit(max_labelled)
-    sample = written(docs.join(chosen, "doc_id").where("text is not null").select("text", "weight"))
+    known = written(known.groupBy("doc_id").agg(F.max("weight").alias("weight")))
+    of_labels = F.broadcast(smallest(known, max_labelled, "doc_id", "weight"))
+    pairs = smallest(written(docs.select("doc_id", F.xxhash64("text").alias("key")).join(of_labels, "doc_id")), max_labelled, "doc_id", "key", "weight")
+    sample = _texts_of(docs, pairs, "weight")
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     mined = significant(feature_statistics(sample), toxic, total, PURITY) if toxic and total > toxic else []
     voters = Voters.of(mined)
     shared = spark.sparkContext.broadcast(voters)
 
     def vote(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b in ts.chunks(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.votes(batch.column(1).slice(a, b - a)))], ["doc_id", "pattern"])
+        for a, b in ts.chunks(batch.column(2)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array(shared.value.votes(batch.column(2).slice(a, b - a)))], ["doc_id", "key", "pattern"])
 
-    votes = written(scan(docs.where("text is not null"), vote, "doc_id long, pattern long"))
+    votes = written(scan(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), vote, "doc_id long, key long, pattern long"))
     # at most 2 ** voters rows, however many documents
     rows = votes.groupBy("pattern").count().collect()
     patterns, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
@@ -303,9 +321,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     halves = []
     for half, size in ((votes.where("pattern <> 0"), loud), (votes.where("pattern = 0"), silent)):
         share = max(size / max(min(size, max_training / 2), 1), 1e-9)
-        halves.append(half.orderBy(order, "doc_id").limit(max_training // 2).withColumn("importance", F.lit(share)))
-    picked = halves[0].unionAll(halves[1]).dropDuplicates(["doc_id"])
-    training = written(docs.join(picked, "doc_id").where("text is not null").select("text", "pattern", "importance"))
+        halves.append(smallest(half, max_training // 2, "doc_id", "key", "pattern").withColumn("importance", F.lit(share)))
+    training = _texts_of(docs, halves[0].unionAll(halves[1]), "pattern", "importance")
     soft = spark.createDataFrame([(int(p), float(q)) for p, q in posterior.items()], "pattern long, weight double")
     labelled = training.join(F.broadcast(soft), "pattern")  # at most 2 ** voters rows
     total, toxic = labelled.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0.0))).first()

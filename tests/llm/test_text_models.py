@@ -61,6 +61,21 @@ def test_label_model_estimates_accuracies_and_correlation():
     assert abs(rate - 0.7) < 0.15
 
 
+def test_patterns_see_seeds_inside_tokens():
+    voters = toxicity.Voters.of([])
+    votes = voters.votes(pa.array(["you are all idiots", "what a moron\u2014truly", "this idiotic plan", "fine", None]))
+    assert [int(v) for v in votes] == [1 << 2, 1 << 4, 0, 0, 0]
+
+
+def test_samples_are_bounded_and_ignore_repeats(spark):
+    from stepweave.llm.common import smallest
+
+    frame = spark.range(3000).selectExpr("id % 1000 doc_id").union(spark.range(2000).selectExpr("0L doc_id"))
+    found = [r[0] for r in smallest(frame, 50, "doc_id").collect()]
+    assert len(set(found)) == 50 and sorted(found) == sorted(r[0] for r in smallest(frame.distinct(), 50, "doc_id").collect())
+    assert smallest(frame, 5000, "doc_id").count() == 1000 and smallest(frame.limit(0), 5, "doc_id").count() == 0
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = spark.createDataFrame([(None, 1, 1), (1, None, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
