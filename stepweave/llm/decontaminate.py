@@ -2,8 +2,9 @@
 
 Texts are normalised (lower case, runs of anything but letters and digits are one space). Every window of NGRAM tokens
 of every document is hashed and looked up; hits are verified token by token. Items of fewer tokens are looked for as
-a whole, down to MIN_TOKENS; shorter ones match only a document that consists of them. A benchmark whose n-grams exceed
-SLICE_BYTES is taken in slices, one scan each, so what is broadcast is bounded and nothing is left out.
+a whole, down to MIN_TOKENS; shorter ones match only a document that consists of them. A benchmark of more than SLICE_BYTES
+of text is taken in slices of whole items, one scan each, so what is broadcast is bounded (but for one item, all of whose
+texts stay together) and nothing is left out. Rows are judged by their own text where they are read: no row is moved.
 """
 
 from __future__ import annotations
@@ -95,12 +96,22 @@ def _rows(doc_id: int | None, text: str, normal: str, hits: list[tuple[int, int]
 
 
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The whole benchmark in lists of about SLICE_BYTES of text."""
+    """The whole benchmark in lists of about SLICE_BYTES of text, an item's texts in one of them."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // SLICE_BYTES)
     for k in range(parts):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
+
+
+def _found(grams: GramSet, column: pa.Array, ids: pa.Array) -> Iterator[tuple[int, list[tuple]]]:
+    """(row, its rows of contamination) of each text of a column that shares a window."""
+    for a, b in ts.chunks(column):
+        original = column.slice(a, b - a)
+        normal = ts.normalise(original)
+        for d, hits in sorted(grams.hits(ts.tokens(normal)).items()):
+            if rows := list(_rows(ids[a + d].as_py(), original[d].as_py(), normal[d].as_py(), hits, grams)):
+                yield a + d, rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -109,53 +120,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
     spans of the original text.
 
     Documents without a shared window have no row. Null and empty texts and items share nothing; a null doc_id is
-    carried; items without an item_id are left out; a repeated row has its rows again."""
+    carried; items without an item_id are left out; a repeated row has its rows again; several texts of one item_id
+    are one item."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows", pa.int64()), ("first_token", pa.int64()), ("end_token", pa.int64()), ("tokens", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     spark, parts = docs.sparkSession, []
     for items in _slices(benchmark):
         shared = spark.sparkContext.broadcast(GramSet(items, n))
 
         def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
-            grams, ids, column = shared.value, batch.column(0), batch.column(1)
-            for a, b in ts.chunks(column):
-                original = column.slice(a, b - a)
-                normal = ts.normalise(original)
-                rows = [r for d, hits in sorted(grams.hits(ts.tokens(normal)).items()) for r in _rows(ids[a + d].as_py(), original[d].as_py(), normal[d].as_py(), hits, grams)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+            rows = [r for _, own in _found(shared.value, batch.column(1), batch.column(0)) for r in own]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
         parts.append(scan(texts(docs), run, SCHEMA))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id shares no window with the benchmark. Rows with a null doc_id
-    stay: they can't be told apart."""
-    (name,) = free(docs, "bad")
-    bad = contamination(docs, benchmark, n).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    """The rows of docs, all columns, whose own text shares no window with the benchmark, whatever their doc_id. Rows without
+    text stay."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+    for items in _slices(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(GramSet(items, n))
+
+        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(len(batch), bool)
+            keep[[row for row, _ in _found(shared.value, batch.column(at), pa.nulls(len(batch), pa.int64()))]] = False
+            yield batch.filter(pa.array(keep))
+
+        docs = scan(docs, run, docs.schema)
+    return docs
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
-    """The rows of docs, all columns, their texts without the shared spans. A doc_id whose rows differ in text is left as
-    drop_documents leaves it: spans of one text don't hold for another, so those rows go."""
-    of_id, spans, several, new = free(docs, "of_id", "spans", "several", "new")
-    found = contamination(docs, benchmark, n).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias(spans))
-    texts_of = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.count_distinct("text") > 1).alias(several))
-    found = found.join(texts_of, "doc_id").withColumnRenamed("doc_id", of_id)
-    text = F.col("text").cast("string")
+    """The rows of docs, all columns, their texts without the spans that they share with the benchmark; each row by its own
+    text. Rows without text stay as they are."""
+    spans, new = free(docs, "spans", "new")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn(spans, F.array().cast("array<struct<start:long,end:long>>"))
+    at, columns = docs.columns.index("text"), docs.columns
+    for items in _slices(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(GramSet(items, n))
+
+        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            own = batch.column(len(columns)).to_pylist()
+            for row, rows in _found(shared.value, batch.column(at), pa.nulls(len(batch), pa.int64())):
+                own[row] += [span for r in rows for span in r[6]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), pa.array(own, kind)], [*columns, spans])
+
+        marked = scan(marked, run, marked.schema)
+    text = F.col("text")
 
     def step(done, span):
         more = F.when(span["start"] > done["at"], F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int")))).otherwise(done["text"])
         return F.struct(more.alias("text"), F.greatest(done["at"], span["end"]).alias("at"))
 
-    done = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step)
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(of_id), "left").where(f"`{several}` is null or not `{several}`")
-    cut = F.when(F.col(spans).isNull(), text).otherwise(F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(new, cut).select(*(F.col(new).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    done = F.aggregate(F.array_sort(spans), F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), step)
+    cut = F.when(F.size(spans) == 0, text).otherwise(F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
+    return marked.withColumn(new, cut).select(*(F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination of every document by every benchmark item, without the spans."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 

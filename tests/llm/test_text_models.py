@@ -240,7 +240,20 @@ def test_cut_spans(spark):
     frame = spark.createDataFrame([(1, passage)], "item_id long, text string")
     out = decontaminate.cut_spans(docs(spark, rows), frame)
     assert out.columns == docs(spark, rows).columns
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "Before, . After", 2: "clean", 3: None}
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["text"] is not None) == [(1, "Before, . After"), (2, "clean"), (4, ""), (4, "other")]
+    assert out.count() == 5
+
+
+def test_slices_do_not_split_an_item(spark, monkeypatch):
+    passages = [text(i, 20) for i in range(12)]
+    items = spark.createDataFrame([(7, p) for p in passages] + [(8, passages[0])], "item_id long, text string")
+    rows = [(1, " and ".join(passages)), (1, "clean"), (None, passages[3])]
+    whole = Counter(tuple(r)[:6] for r in decontaminate.contamination(docs(spark, rows), items).collect())
+    cut = Counter(r["text"] for r in decontaminate.cut_spans(docs(spark, rows), items).collect())
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 100)
+    assert Counter(tuple(r)[:6] for r in decontaminate.contamination(docs(spark, rows), items).collect()) == whole
+    assert Counter(r["text"] for r in decontaminate.cut_spans(docs(spark, rows), items).collect()) == cut
+    assert [r["text"] for r in decontaminate.drop_documents(docs(spark, rows), items).collect()] == ["clean"]
 
 
 def test_decontamination_edges(spark):
@@ -248,7 +261,7 @@ def test_decontamination_edges(spark):
     found = Counter(r["doc_id"] for r in decontaminate.contamination(awkward(spark), frame).collect())
     assert found == Counter({1: 2, 2: 1, None: 1})
     kept = decontaminate.drop_documents(awkward(spark), frame)
-    assert kept.columns == awkward(spark).columns and kept.count() == 12
+    assert kept.columns == awkward(spark).columns and kept.count() == 11
     assert decontaminate.contamination(empty(spark), frame).count() == 0
     assert decontaminate.contamination(awkward(spark), frame.limit(0)).count() == 0
 
