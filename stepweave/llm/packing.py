@@ -1,7 +1,7 @@
 """Packing documents into training sequences by bin completion.
 
 Sizes are white-space tokens. Pieces of CAPACITY tokens are cut from longer documents and fill a sequence alone; the
-remainders are spread by a hash of doc_id over groups of about GROUP documents, each packed by branch and bound: around
+remainders are spread evenly over groups of about GROUP documents, each packed by branch and bound: around
 the largest remaining piece, undominated fillings are tried, best fit first; a branch ends when its waste exceeds what a
 solution with one sequence less than the incumbent can have. Fillings are built one by one from the sums that the
 remaining pieces can reach, so none is begun in vain. Best-fit decreasing gives the first incumbent. The search of a
@@ -197,13 +197,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
 
     pieces are (doc_id, start, end) in the document's white-space tokens. Every token of every document is in one piece of
     one sequence; a sequence holds at most capacity tokens. Null, empty and blank texts have no tokens and no piece; a
-    null doc_id is packed as null; repeated rows are packed again."""
+    null doc_id is packed as null; repeated rows are packed again. bin_id tells sequences apart and says nothing else:
+    rows are numbered as they are read, so that neither nulls nor a repeated doc_id crowd a group."""
     words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \t\n\r\f\x0B]+")).cast("long")
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size")).where("size > 0"))
-    whole = sized.where(F.col("size") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / capacity) - 1)).alias("k"))
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("size"), F.monotonically_increasing_id().alias("row")).where("size > 0"))
+    whole = sized.where(F.col("size") >= capacity).select("doc_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / capacity) - 1)).alias("k"))
     start = F.col("k") * capacity
     full = whole.select(
-        F.concat_ws(":", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k").alias("bin_id"),
+        F.concat_ws(":", F.lit("d"), "row", "k").alias("bin_id"),
         F.array(F.struct("doc_id", start.alias("start"), (start + capacity).alias("end"))).cast(PIECES).alias("pieces"),
         F.lit(capacity).cast("long").alias("tokens"),
         F.lit(0).cast("long").alias("waste"),
@@ -211,7 +212,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
     rest = sized.withColumn("left", F.col("size") % capacity).where("left > 0")
     ready(docs.sparkSession)
     groups = max(1, -(-sized.count() // group))
-    keyed = rest.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", (F.col("size") - F.col("left")).alias("start"), "left")
+    keyed = rest.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("g"), "doc_id", (F.col("size") - F.col("left")).alias("start"), "left")
     piece = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("bin_id", pa.string()), ("pieces", pa.list_(piece)), ("tokens", pa.int64()), ("waste", pa.int64())])
 
@@ -229,4 +230,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of CAPACITY tokens over every document."""
     return pack_documents(table(spark, sf_dir, "documents"))

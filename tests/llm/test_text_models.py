@@ -403,6 +403,12 @@ def test_documents_are_packed_whole(spark):
     assert len({b["bin_id"] for b in out}) == len(out)
 
 
+def test_bins_of_repeated_rows_are_told_apart(spark):
+    rows = [(None, text(1, 30))] * 3 + [(5, text(2, 30))] * 3 + [(None, text(3, 3))] * 4
+    out = packing.pack_documents(docs(spark, rows), capacity=10, group=2).collect()
+    assert len({b["bin_id"] for b in out}) == len(out) and sum(b["tokens"] for b in out) == 6 * 30 + 4 * 3
+
+
 def test_packing_edges(spark):
     out = packing.pack_documents(awkward(spark)).collect()
     assert sum(b["tokens"] for b in out) == 2 * 4 + 2 * 30_000 + 1 + 3 + 2
