@@ -3,7 +3,8 @@
 A task hashes all windows of a chunk of documents and sends each hash to the bucket of its top bits, as packed arrays: 8
 bytes of hash and 2 of position, not a row, for each window. A bucket's task sorts its hashes; those that
 occur more than once go back to their chunk, where overlapping and touching windows merge into maximal intervals. Nothing
-is broadcast and no window is sampled; what a task holds is its share of the windows.
+is broadcast and no window is sampled. There are as many buckets as keep one at BUCKET_BYTES of text, whatever the input.
+A hash has 64 bits: of n windows some n * n / 2 ** 65 differ from all others and still count as repeated.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from stepweave.llm import textscan as ts
 from stepweave.llm.common import free, partitions, table
 
-WINDOW, CHUNK_BYTES = 50, 8 << 20
+WINDOW, CHUNK_BYTES, BUCKET_BYTES = 50, 8 << 20, 32 << 20
 _MESSAGE = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _MESSAGE_SQL = "to int, chunk long, kind int, a binary, b binary, c binary"
 _INTERVALS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start_token", pa.int64()), ("end_token", pa.int64())])
@@ -141,10 +142,11 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, start_token, end_token): the maximal intervals of a document's white-space tokens that windows of
     n tokens occurring more than once, in other documents or the same, cover.
 
-    Windows are equal when their tokens are, byte for byte. A text of fewer than n tokens, null or empty has none. A null
+    Windows are equal when the 64-bit hashes of their tokens are. A text of fewer than n tokens, null or empty has none. A null
     doc_id is carried; repeated rows repeat each other's windows, and each has its intervals. text_key is a hash of the
     text, to tell rows that share a doc_id apart."""
-    buckets = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(_send(n, buckets), _MESSAGE_SQL)
     counted = sent.repartitionById(buckets, "to").mapInArrow(_count, _MESSAGE_SQL)
@@ -153,11 +155,11 @@ def repeated_intervals(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, with the tokens of repeated_intervals cut from their texts, the white space before
-    each cut token too. Rows with a null doc_id stay as they are."""
+    each cut token too. A row with a null doc_id is cut like others."""
     of_id, of_key, spans, new = free(docs, "of_id", "of_key", "spans", "new")
     found = repeated_intervals(docs, n).distinct().groupBy(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_key)).agg(F.array_sort(F.collect_list(F.struct("start_token", "end_token"))).alias(spans))
     text = F.col("text").cast("string")
-    joined = docs.join(found, (docs["doc_id"].cast("long") == F.col(of_id)) & (F.xxhash64(text) == F.col(of_key)), "left")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_key)), "left")
     # a token with the white space before it; the white space after the last token stays
     pieces = F.regexp_extract_all(text, F.lit(r"[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"), F.lit(0))
     kept = F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (i >= s["start_token"]) & (i < s["end_token"])))
@@ -166,6 +168,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_intervals of every document."""
     return repeated_intervals(table(spark, sf_dir, "documents")).drop("text_key")
 
 
