@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import free, partitions, table, written
+from stepweave.llm.common import free, partitions, scan, table, written
 from stepweave.llm.textscan import mix
 
 MEMTABLE_ROWS, FANOUT, FILTER_BITS, PROBES = 1 << 16, 8, 16, 4
+#: Records of a partition of the index, whose runs are in memory.
+PARTITION_ROWS = 1 << 21
 
 
 def _order(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -56,13 +58,17 @@ class Run:
         maybe = np.ones(len(high), bool)
         for p in _probes(high, low, len(self.filter) * 8):
             maybe &= (self.filter[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        for i in np.flatnonzero(maybe):
-            at = np.searchsorted(self.high, high[i])
-            while at < len(self.high) and self.high[at] == high[i]:
-                if self.low[at] == low[i]:
-                    out[i] = at
-                    break
-                at += 1
+        some = np.flatnonzero(maybe)
+        at = np.searchsorted(self.high, high[some])
+        # equal first halves of unequal digests are rare, so a second step is
+        while len(some):
+            there = at < len(self.high)
+            some, at = some[there], at[there]
+            same = self.high[at] == high[some]
+            some, at = some[same], at[same]
+            hit = self.low[at] == low[some]
+            out[some[hit]] = at[hit]
+            some, at = some[~hit], at[~hit] + 1
         return out
 
 
@@ -122,6 +128,15 @@ class LsmIndex:
         return (runs[0] if len(runs) == 1 else self._merge(runs)) if runs else None
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    high, low, ids, copies = (np.array(batch.column(i)) for i in range(4))
+    return high.view(np.uint64), low.view(np.uint64), ids, copies
+
+
+def _batch(run: Run) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (run.high.view(np.int64), run.low.view(np.int64), run.ids, run.copies)], ["high", "low", "doc_id", "copies"])
+
+
 def digests(docs: DataFrame, high: str = "high", low: str = "low") -> DataFrame:
     """docs with the 128-bit digest of the text's bytes in two columns, null for a null text or doc_id."""
     text = F.when(F.col("doc_id").isNotNull(), F.col("text").cast("string"))
@@ -130,18 +145,25 @@ def digests(docs: DataFrame, high: str = "high", low: str = "low") -> DataFrame:
 
 def build_index(entries: DataFrame) -> DataFrame:
     """(high, low, doc_id, copies) with one row for each digest of entries (high, low, doc_id, copies): the smallest
-    doc_id and the number of records. Indexes can be merged by building one of their union."""
+    doc_id and the number of records. Indexes can be merged by building one of their union.
+
+    A task's records of one digest are merged before they are sent, a batch at a time, so a frequent one fills no
+    partition; there are as many partitions as hold PARTITION_ROWS records each."""
+
+    def merge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield _batch(Run.of(*_columns(batch)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LsmIndex()
         for b in batches:
-            high, low, ids, copies = (np.array(b.column(i)) for i in range(4))
-            index.add(high.view(np.uint64), low.view(np.uint64), ids, copies)
+            index.add(*_columns(b))
         if (done := index.compact()) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (done.high.view(np.int64), done.low.view(np.int64), done.ids, done.copies)], ["high", "low", "doc_id", "copies"])
+            yield _batch(done)
 
+    schema = "high long, low long, doc_id long, copies long"
     rows = entries.where(F.col("high").isNotNull()).select("high", "low", F.col("doc_id").cast("long"), F.col("copies").cast("long"))
-    return rows.repartition(partitions(entries.sparkSession), "high", "low").mapInArrow(run, "high long, low long, doc_id long, copies long")
+    parts = max(partitions(entries.sparkSession), -(-rows.count() // PARTITION_ROWS))
+    return scan(rows, merge, schema).repartition(parts, "high", "low").mapInArrow(run, schema)
 
 
 def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +193,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without copies: of rows with one text that with the smallest doc_id, and one of
-    rows that repeat doc_id and text. Rows with a null text or doc_id stay."""
+    rows that repeat doc_id and text, that with the smallest hash of all columns. Rows with a null text or doc_id stay."""
     _, same = _verified(docs)
     high, low, of_id, of_high, of_low = free(docs, "high", "low", "of_id", "of_high", "of_low")
     keyed = digests(docs, high, low)
@@ -182,11 +204,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     repeated = marks.where("first and again").select(*names)
     if repeated.isEmpty():
         return kept
-    once = keyed.join(repeated, key, "left_semi").dropDuplicates(["doc_id", high, low])
-    return kept.unionByName(once.select(*docs.columns))
+    # rows are merged before they are moved, so many repetitions of one row are no burden
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = keyed.join(repeated, key, "left_semi").groupBy("doc_id", high, low).agg(F.min_by(row, F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"}))).alias(of_id))
+    return kept.unionByName(once.select(f"{of_id}.*"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_duplicates of every document."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

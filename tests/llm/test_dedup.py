@@ -55,6 +55,18 @@ def test_keep_first(spark):
     assert lsm.keep_first(empty(spark)).count() == 0
 
 
+def test_keep_first_of_rows_that_differ_elsewhere(spark):
+    frame = spark.createDataFrame([(1, "a", f"s{i}") for i in range(20)] + [(2, "a", "t"), (3, None, "u")], "doc_id long, text string, source string")
+    kept = [sorted(map(str, lsm.keep_first(f).collect())) for f in (frame, frame.orderBy("source"), frame.repartition(7))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_runs_tell_digests_of_one_half_apart():
+    high, low = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 3, 1], np.uint64)
+    run = lsm.Run.of(high, low, np.arange(4), np.ones(4, np.int64))
+    assert run.find(np.array([5, 5, 9, 5, 4], np.uint64), np.array([3, 1, 1, 4, 1], np.uint64)).tolist() == [2, 0, 3, -1, -1]
+
+
 def test_lsm_index_flushes_and_compacts():
     r = np.random.default_rng(0)
     index, expected = lsm.LsmIndex(memtable_rows=50, fanout=3), {}
@@ -180,7 +192,7 @@ def test_substring_edges(spark):
 
 def test_remove_repeats(spark):
     shared = text(77, 55)
-    rows = [(1, f"start one\n{shared} end one "), (2, f"two {shared}"), (3, text(78, 60)), (4, None)]
+    rows = [(1, f"start one\n{shared} end one "), (2, f"two {shared}"), (3, text(78, 60)), (4, None), (None, f"none {shared}")]
     out = substring.remove_repeats(docs(spark, rows))
     assert out.columns == docs(spark, rows).columns
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "start one end one ", 2: "two", 3: text(78, 60), 4: None}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: "start one end one ", 2: "two", 3: text(78, 60), 4: None, None: "none"}
