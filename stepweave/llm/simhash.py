@@ -1,10 +1,13 @@
 """Near-duplicate documents by SimHash and pigeonhole blocks.
 
-A fingerprint has BITS bits; bit i is what more than half of the document's content tokens have as bit i of their hash.
+A fingerprint has BITS bits; bit i is what more than half of the document's content tokens have as bit i of their hash
+(of few, one edit changes more bits than MAX_DISTANCE: short documents link when their tokens are the same).
 It is split into blocks of BLOCK bits, each with a radius; radii and blocks add up to MAX_DISTANCE + 1, so two
 fingerprints within MAX_DISTANCE differ by no more than the radius in some block, and no pair is lost. Documents of equal
 fingerprint are one row before the search, so a group of thousands of copies costs no pairs; candidates are verified by
-their Hamming distance, with no cap on partners. Every two slices of SLICE fingerprints meet in a task of their own.
+their Hamming distance, with no cap on partners. Every two slices of SLICE fingerprints meet in a task of their own, which
+holds the block index of one of them: near copies differ by up to a sixth of the bits, and keys that surely are equal at
+that distance are too short to part the fingerprints, so the work is some hundredths of all pairs of different fingerprints.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from stepweave.session import ready
 BITS, BLOCK, MAX_DISTANCE = 256, 16, 40
 #: Tokens of fewer bytes are mostly function words, which any two documents of a language share.
 MIN_TOKEN_BYTES = 4
-#: A document of fewer content tokens has the hash of its whole token sequence as fingerprint.
+#: A document of fewer content tokens is represented by all its tokens.
 MIN_FEATURES = 8
 #: Fingerprints of a slice, the least number of slices, and candidates that are verified at once.
 SLICE, SLICES, PAIRS = 1 << 17, 6, 1 << 20
@@ -38,13 +41,13 @@ def fingerprint_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (documents x WORDS) and which documents have any token."""
     tokens = ts.tokens(pc.utf8_lower(column), ts.PUNCTUATION)
     content = tokens.end - tokens.start >= MIN_TOKEN_BYTES
+    few = ts.groups_sum(content, tokens.first) < MIN_FEATURES
+    content |= np.repeat(few, np.diff(tokens.first))
     hashes, first = tokens.hash[content], np.concatenate([[0], np.cumsum(content)])[tokens.first]
-    few = np.diff(first) < MIN_FEATURES
-    whole = ts.sequences(tokens)
     words = []
     for i in range(WORDS):
         seed = np.uint64((0xA0761D6478BD642F * (i + 1)) % (1 << 64))
-        words.append(np.where(few, ts.mix(whole + seed), ts.sign_bits(ts.mix(hashes + seed), first)))
+        words.append(ts.sign_bits(ts.mix(hashes + seed), first))
     return np.stack(words, axis=1), np.diff(tokens.first) > 0
 
 
@@ -154,4 +157,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -95,7 +95,7 @@ def near_rows():
     return rows + [(5000 + i, text(9000 + i, 120)) for i in range(100)]
 
 
-def test_near_pairs_recall(spark):
+def test_near_pairs_match_brute_force(spark):
     prints, full = simhash.fingerprint_column(pa.array([t for _, t in near_rows()]))
     assert full.all()
     distance = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(2)
@@ -103,10 +103,7 @@ def test_near_pairs_recall(spark):
     rows = [(i, *map(int, p.view(np.int64))) for i, p in enumerate(prints)]
     found = {(r["a"], r["b"]): r["distance"] for r in simhash.near_pairs(spark.createDataFrame(rows, "rep long, f0 long, f1 long, f2 long, f3 long")).collect()}
     true = {(x, y): int(distance[x, y]) for x, y in zip(a.tolist(), b.tolist())}
-    assert all(true[p] == d for p, d in found.items())
-    assert len(found) >= 0.95 * len(true)
-    # fewer differing bits than blocks: a block is shared for certain
-    assert all(p in found for p, d in true.items() if d < simhash.BITS // simhash.BLOCK)
+    assert found == true
 
 
 def test_near_pairs_are_complete_at_every_distance(spark):
@@ -125,11 +122,23 @@ def test_near_pairs_are_complete_at_every_distance(spark):
 
 def test_near_duplicates_group_copies_and_leave_others(spark):
     found = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_duplicates(docs(spark, near_rows())).collect()}
+    prints, _ = simhash.fingerprint_column(pa.array([t for _, t in near_rows()]))
+    ids, close = [i for i, _ in near_rows()], np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(2) <= simhash.MAX_DISTANCE
+    group = list(range(len(ids)))
+    for _ in ids:  # the smallest of all that can be reached
+        group = [min(group[j] for j in np.flatnonzero(row)) for row in close]
+    assert found == {i: (ids[g], ids[g] == i) for i, g in zip(ids, group)}
     together = sum(found[10 * k + j][0] == 10 * k for k in range(60) for j in range(4))
     assert together >= 0.95 * 240
     assert all(found[5000 + i] == (5000 + i, True) for i in range(100))
 
 
+def test_short_documents_link_by_all_their_tokens(spark):
+    rows = [(1, "a b c d"), (2, "d c b a!"), (3, "a b c e"), (4, "of the cat"), (5, "on a cat"), (6, "one two three four five")]
+    found = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 def test_near_edges(spark):
     found = Counter(tuple(r) for r in simhash.near_duplicates(awkward(spark)).collect())
     assert found[1, 1, True] == 2 and found[2, 1, False] == 1 and found[8, 7, False] == 1
