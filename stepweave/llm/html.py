@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -28,7 +29,11 @@ MANY_PAGES = 50
 MAIN_SHARE = 0.5
 #: Template tables of up to so many bytes are broadcast; larger ones are joined.
 BROADCAST_BYTES = 32 << 20
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What is no element, and a tag: only after an equals sign does a quote begin a value, which may hold what ends a tag. No
+#: quantifier gives anything back, so nothing is read twice.
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?+", re.S)
+_TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_PLAIN_TAG = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
@@ -76,24 +81,43 @@ class Element:
 
 def parse(source: str) -> Element:
     """The tree of a page under a root without tag. Comments and declarations are dropped, open elements end with their
-    parent, closing tags without an opening one are ignored; anything is accepted."""
+    parent, closing tags without an opening one are ignored; anything is accepted, in time proportional to its length. After
+    a quote that hides the end of a tag to the end of the page, quotes no longer count; a tag that never ends is text."""
     root = Element("", "", [])
-    stack, at = [root], 0
+    stack, open_, at, look = [root], Counter(), 0, 0
+    tag_of = _TAG
 
     def pop() -> None:
-        stack.pop().close()
-
-    while m := _TOKEN.search(source, at):
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        element = stack.pop()
+        open_[element.tag] -= 1
+        element.close()
+
+    while (start := source.find("<", look)) >= 0:
+        second = source[start + 1 : start + 2]
+        if second in "!?" and second:
+            m, tag = _OTHER.match(source, start), ""
+        else:
+            m = tag_of.match(source, start)
+            if m is None and tag_of is _TAG and re.match(r"</?[a-zA-Z]", source[start : start + 3]):
+                tag_of = _PLAIN_TAG
+                m = tag_of.match(source, start)
+                if m is None:
+                    break
+            if m is None:
+                if tag_of is _PLAIN_TAG and source.find(">", start) < 0:
+                    break
+                look = start + 1
+                continue
+            tag = m[2].lower()
+        if start > at:
+            stack[-1].children.append(source[at:start])
+        at = look = m.end()
+        if not tag:
             if m[0].startswith("<![CDATA["):
                 stack[-1].children.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        tag = m[2].lower()
         if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
+            if open_[tag]:
                 while stack[-1].tag != tag:
                     pop()
                 pop()
@@ -108,10 +132,11 @@ def parse(source: str) -> Element:
         elif tag in _RAW:
             end = _RAW[tag].search(source, at)
             element.children.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
+            at = look = end.end() if end else len(source)
             element.close()
         else:
             stack.append(element)
+            open_[tag] += 1
     if at < len(source):
         stack[-1].children.append(source[at:])
     while stack:
@@ -253,4 +278,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page."""
     return extract(table(spark, sf_dir, "pages"))
