@@ -1,9 +1,11 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted documents are the positives, other web text is unlabelled: a mixture of good and bad in an unknown share. The class
-prior is estimated from the scores of a first classifier, and a linear model over statistics of the text minimises the
+Trusted documents are the positives; the corpus is unlabelled, a mixture of good and bad in an unknown share. Statistics of
+every text are taken once and written; their means and deviations, and the class prior, are those of all documents. The
+prior is estimated from all documents' scores by a first classifier, and a linear model over the statistics minimises the
 non-negative unbiased risk pi R+(p) + max(0, R-(u) - pi R-(p)): the part of the unlabelled text that must be positive
-is taken out of its negative risk, and where that turns negative by overfitting, its gradient is reversed.
+is taken out of its negative risk, and where that turns negative by overfitting, its gradient is reversed. Only the steps of
+that descent are taken on bounded samples.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm import textscan as ts
-from stepweave.llm.common import scan, table, texts, written
+from stepweave.llm.common import scan, smallest, table, texts, written
 
-#: Bounds of the fitting samples, in documents.
+#: Bounds of the samples of the descent, in documents of different text; parameters of train.
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 20_000
+#: Scores are counted in so many bins of equal width.
+BINS = 4096
 FEATURES = (
     "log_tokens token_bytes upper digits letters space ascii_punctuation symbols exclaims non_ascii distinct_tokens top_token "
     "repeated_pairs adjacent_repeats symbol_tokens long_tokens log_lines line_tokens distinct_lines sentence_marks"
@@ -101,20 +105,25 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale, -6, 6)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+def estimate_prior(positive: np.ndarray, counts: np.ndarray) -> float:
     """The largest share of positives that the unlabelled scores allow: the least ratio, over thresholds that keep enough
-    of the positives, of what passes of the unlabelled and of the positives, with one standard error of both added."""
-    best = 1.0
-    for q in np.linspace(0.05, 0.95, 37):
-        t = np.quantile(positive, q)
-        p, u = float((positive < t).mean()), float((unlabelled < t).mean())
-        # below the threshold lie (1 - prior) negatives at most: u = prior p + (1 - prior) n, n <= 1
-        p, u = 1 - p, 1 - u
-        slack = np.sqrt(max(u * (1 - u), 1e-9) / max(len(unlabelled), 1)) + np.sqrt(max(p * (1 - p), 1e-9) / max(len(positive), 1))
-        best = min(best, (u + slack) / max(p, 1e-9))
+    of the positives, of what passes of the unlabelled and of the positives. A prior too large does more harm than one
+    too small, so no allowance is made for the least of several ratios being a low one. positive are the bins of
+    scores, counts those of all unlabelled by bin."""
+    best, every = 1.0, max(counts.sum(), 1)
+    passing = np.append(np.cumsum(counts[::-1])[::-1], 0)
+    for q in np.linspace(0.05, 0.8, 31):
+        t = int(np.quantile(positive, q, method="nearest"))
+        # above the threshold: u = prior p + (1 - prior) n, n >= 0
+        p, u = float((positive >= t).mean()), float(passing[t] / every)
+        best = min(best, u / max(p, 1e-9))
     return float(np.clip(best, 0.05, 0.99))
 
 
+def score_bins(margins: np.ndarray) -> np.ndarray:
+    return np.clip((1 / (1 + np.exp(-np.clip(margins, -40, 40))) * BINS).astype(np.int64), 0, BINS - 1)
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 2000, batch: int = 512, rate: float = 0.01, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative unbiased risk with the sigmoid loss, by Adam over random batches."""
     rng = np.random.default_rng(7)
@@ -136,45 +145,89 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w[:-1], float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """A model of the statistics of trusted and of unlabelled documents."""
-    both = _expand(np.concatenate([positive, unlabelled]))
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = _standard(_expand(positive), mean, scale), _standard(_expand(unlabelled), mean, scale)
-    # the prior from scores of documents that the first classifier wasn't fitted to
-    half_p, half_u = len(p) // 2, len(u) // 2
-    prior = 0.5
-    if half_p and half_u:
-        w, b = fit_nnpu(p[:half_p], u[:half_u], 0.5)
-        prior = estimate_prior(p[half_p:] @ w + b, u[half_u:] @ w + b)
-    weights, bias = fit_nnpu(p, u, prior)
-    return Model(mean, scale, weights, bias, prior)
+def statistics_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): FEATURES of each row of docs."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b in ts.chunks(batch.column(1)):
+            x = text_statistics(batch.column(1).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(x)], ["doc_id", "x"])
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """A model of docs (doc_id, text), with labels (doc_id, quality) of some of them: quality 1 is trusted. None without
-    trusted or without unlabelled documents."""
-    docs = texts(docs).where("doc_id is not null and text is not null")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    trusted = known.where("quality = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("trusted"))
-    others = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
-    chosen = written(trusted.unionAll(others.withColumn("trusted", F.lit(False))))
+    return scan(texts(docs), run, "doc_id long, x array<double>")
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b in ts.chunks(batch.column(0)):
-            x = text_statistics(batch.column(0).slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(a, b - a)], ["x", "trusted"])
 
-    rows = scan(docs.join(chosen, "doc_id").select("text", "trusted"), run, "x array<double>, trusted boolean").toArrow()
-    x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
-    good = np.array(rows.column("trusted").combine_chunks().to_numpy(zero_copy_only=False), bool)
-    # rows come in any order; the fit must not depend on it
-    x, good = (y[np.lexsort((*x.T, good))] for y in (x, good)) if len(x) else (x, good)
-    shuffle = np.random.default_rng(3).permutation(len(x))
-    x, good = x[shuffle], good[shuffle]
-    return fit(x[good], x[~good]) if good.any() and not good.all() else None
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the inputs of all rows (x): each task sums its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares = 0.0, np.zeros(3 * len(FEATURES)), np.zeros(3 * len(FEATURES))
+        for batch in batches:
+            if len(batch):
+                x = _expand(_matrix(batch.column(0)))
+                n, total, squares = n + len(x), total + x.sum(0), squares + (x * x).sum(0)
+        yield pa.RecordBatch.from_arrays([_lists(np.concatenate([[n], total, squares])[None])], ["sums"])
+
+    each = rows.select("x").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "s"))
+    sums = np.array([r[0] for r in each.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").select("s").collect()])
+    n, k = max(sums[0], 1.0), 3 * len(FEATURES)
+    mean = sums[1 : k + 1] / n
+    return mean, np.sqrt(np.maximum(sums[k + 1 :] / n - mean * mean, 0)) + 1e-6
+
+
+def _score_counts(rows: DataFrame, model: Model) -> np.ndarray:
+    """How many rows (x) have a score in each bin."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS, np.int64)
+        for batch in batches:
+            if len(batch):
+                counts += np.bincount(score_bins(shared.value.margins(_matrix(batch.column(0)))), minlength=BINS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bin", "n"])
+
+    out = np.zeros(BINS)
+    for r in rows.select("x").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """At most n of the different x of rows, in an order that depends on these alone."""
+    found = [r[0] for r in smallest(rows, n, "x").collect()]
+    x = np.array(found, np.float64).reshape(-1, len(FEATURES))
+    x = x[np.lexsort(x.T)] if len(x) else x
+    return x[np.random.default_rng(3).permutation(len(x))]
+
+
+def train(rows: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
+    """A model of the statistics (doc_id, x) of the corpus, with labels (doc_id, quality) of some of it: quality 1 is trusted.
+    None without trusted documents."""
+    rows = rows.where("x[0] > 0")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null")
+    trusted = written(known.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1"))
+    p = _sample(written(rows.join(F.broadcast(smallest(trusted, max_positive, "doc_id")), "doc_id").select("x")), max_positive)
+    u = _sample(rows, max_unlabelled)
+    if not len(p):
+        return None
+    mean, scale = _moments(rows)
+    inputs = lambda x: _standard(_expand(x), mean, scale)
+    prior, half = 0.5, len(p) // 2
+    if half:
+        # the prior from scores of positives that the first classifier wasn't fitted to, and of all documents
+        weights, bias = fit_nnpu(inputs(p[:half]), inputs(u), prior)
+        first = Model(mean, scale, weights, bias, prior)
+        prior = estimate_prior(score_bins(first.margins(p[half:])), _score_counts(rows, first))
+    weights, bias = fit_nnpu(inputs(p), inputs(u), prior)
+    return Model(mean, scale, weights, bias, prior)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -184,17 +237,19 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Texts without tokens (null, empty, blank) score 0 and aren't kept. If there is nothing to learn from, all
     others score 1. A null doc_id is scored; repeated rows repeat in the result. Of several labels of a document
     the lowest counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    rows = written(statistics_of(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b in ts.chunks(batch.column(1)):
-            x = text_statistics(batch.column(1).slice(a, b - a))
+        if len(batch):
+            x = _matrix(batch.column(1))
             z = np.ones(len(x)) if shared.value is None else 1 / (1 + np.exp(-np.clip(shared.value.margins(x), -40, 40)))
             z = np.where(x[:, 0] > 0, z, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(z), pa.array(z >= 0.5)], ["doc_id", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z), pa.array(z >= 0.5)], ["doc_id", "score", "keep"])
 
-    return scan(texts(docs), run, "doc_id long, score double, keep boolean")
+    return scan(rows, run, "doc_id long, score double, keep boolean")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from the labels of good ones."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

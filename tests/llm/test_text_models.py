@@ -108,7 +108,21 @@ def test_prior_is_estimated():
     r = np.random.default_rng(1)
     positive = r.normal(2, 1, 5000)
     unlabelled = np.concatenate([r.normal(2, 1, 7000), r.normal(-2, 1, 3000)])
-    assert abs(quality.estimate_prior(positive, unlabelled) - 0.7) < 0.05
+    counts = np.bincount(quality.score_bins(unlabelled), minlength=quality.BINS)
+    assert abs(quality.estimate_prior(quality.score_bins(positive), counts) - 0.7) < 0.05
+
+
+def test_corpus_statistics_are_of_all_documents(spark):
+    from stepweave.llm.common import written
+
+    rows = [(i, text(i, 5 + i)) for i in range(60)] + [(None, text(3, 9)), (3, None)]
+    found = written(quality.statistics_of(docs(spark, rows)))
+    x = quality._expand(quality.text_statistics(pa.array([t for _, t in rows if t])))
+    mean, scale = quality._moments(found.where("x[0] > 0"))
+    assert np.allclose(mean, x.mean(0)) and np.allclose(scale, x.std(0) + 1e-6, atol=1e-5)
+    model = quality.Model(mean, scale, np.random.default_rng(0).normal(size=x.shape[1]), 0.1, 0.5)
+    margins = quality._standard(x, mean, scale) @ model.weights + model.bias
+    assert quality._score_counts(found.where("x[0] > 0"), model).tolist() == np.bincount(quality.score_bins(margins), minlength=quality.BINS).tolist()
 
 
 def test_quality_edges(spark):
