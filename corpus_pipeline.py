@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a DataFrame; run()
 writes each as Parquet and reads it again for the next. All but the last return the columns of documents.
+
+Every stage bears nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any name.
+Rows without text pass all stages but packing, which has nothing to pack of them. Rows without doc_id can't be kept apart by
+the two deduplicating stages, which keep them.
 """
 
 from __future__ import annotations
@@ -16,22 +20,22 @@ from stepweave.session import shared_dir
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on docs and the labels, doesn't reject."""
+    """Documents that the classifier, trained on docs and the labels, doesn't reject; each row by its own text."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """Of the rows of one text that with the smallest doc_id, of its repetitions one."""
     return lsm.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """Of each group of near copies the document with the smallest doc_id; repeated rows of it stay."""
     return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no token window with the benchmark."""
+    """Documents that share no token window with the benchmark; each row by its own text."""
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", benchmark), ("packing", packed)]
 
-#: The classifier, SimHash and packing have no SQL; tests/llm holds run() against brute force.
+#: The classifier, SimHash and packing have no SQL; tests/llm/test_pipeline.py holds each stage and run() against brute force.
 ORACLE_SQL = None
 
 
