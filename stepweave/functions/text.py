@@ -34,13 +34,18 @@ def normalize_fuzzy(text: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, r"\s+", " ")))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100, by characters that an edit of the normalised texts leaves."""
-    x, y = normalize_fuzzy(a), normalize_fuzzy(b)
+def similarity_of(x: Column, y: Column, at_least: float = 0.0) -> Column:
+    """0 to 100, by characters that an edit of two normalised texts leaves; less than at_least may come as 0."""
     longest = F.greatest(F.length(x), F.length(y)).cast("double")
     near = F.bround((F.lit(1.0) - F.levenshtein(x, y) / longest) * 100, 1)
+    apart = F.abs(F.length(x) - F.length(y)) > longest * (1 - (at_least - 1) / 100)
+    return F.when(x == y, 100.0).when(apart, 0.0).otherwise(near)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """similarity_of the normalised texts; a blank text is like a blank one alone."""
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    return F.when(blank(a) & blank(b), 100.0).when(blank(a) | blank(b), 0.0).when(x == y, 100.0).otherwise(near)
+    return F.when(blank(a) & blank(b), 100.0).when(blank(a) | blank(b), 0.0).otherwise(similarity_of(normalize_fuzzy(a), normalize_fuzzy(b)))
 
 
 def digest(text: Column, length: int) -> Column:

@@ -7,18 +7,14 @@ those; scenarios that share only frequent steps never meet.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.operators.gherkin import normalize
-from stepweave.session import ready
+from stepweave.functions.text import normalize_fuzzy, similarity_of
+from stepweave.session import cut
 from stepweave.settings import AnalysisSettings
 
-PAIR_COLUMNS = ("ord", "path", "line_no", "feature", "fingerprint", "step_fps", "step_texts", "norm_texts")
+PAIR_COLUMNS = ("ord", "path", "line_no", "feature", "fingerprint", "step_fps", "step_texts", "norm_texts", "plain_texts")
 
 
 def size_prune(n1: Column, n2: Column, threshold: float) -> Column:
@@ -118,77 +114,56 @@ def blocked_pairs(scenarios: DataFrame, settings: AnalysisSettings) -> DataFrame
     return a.join(b, ["project", "bucket"]).where("a_ord < b_ord").select("project", "a_ord", "b_ord").distinct()
 
 
-def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
-
-
-def text_similarity(a: str, b: str, at_least: float = 0.0) -> float:
-    """As functions.text.similarity; texts whose lengths alone keep them below at_least give 0."""
-    if not a or not b:
-        return 100.0 if not a and not b else 0.0
-    x, y = normalize(a), normalize(b)
-    if x == y:
-        return 100.0
-    longest = max(len(x), len(y))
-    if (1 - abs(len(x) - len(y)) / longest) * 100 < at_least - 1:
-        return 0.0
-    return round((1 - edit_distance(x, y) / longest) * 100, 1)
-
-
-@dataclass
-class Match:
-    """Comparison of two scenarios."""
-
-    overlap: float
-    fuzzy: float
-    matching: int
-    additional: int
-    same_sequence: bool
-    match_type: str
-    matching_texts: list[str]
-    unique_a: list[str]
-    unique_b: list[str]
-
-
-def compare(a: dict, b: dict, settings: AnalysisSettings) -> Match:
-    """Equal steps, then greedily for each step left of a the first unused step of b that is near enough."""
-    shared = set(a["step_fps"]) & set(b["step_fps"])
-    rest_a = [i for i, f in enumerate(a["step_fps"]) if f not in shared]
-    rest_b = [i for i, f in enumerate(b["step_fps"]) if f not in shared]
-    used: dict[int, tuple[int, float]] = {}
-    for i in rest_a:
-        for j in rest_b:
-            if j in used:
-                continue
-            if settings.enable_parameter_agnostic_matching and a["norm_texts"][i] == b["norm_texts"][j]:
-                near = 100.0
-            elif settings.enable_fuzzy_matching:
-                near = text_similarity(a["step_texts"][i], b["step_texts"][j], settings.fuzzy_match_threshold)
-            else:
-                continue
-            if near >= settings.fuzzy_match_threshold:
-                used[j] = i, near
-                break
-    smaller = min(len(a["step_fps"]), len(b["step_fps"]))
-    percent = lambda k: round(k / smaller * 100, 1) if smaller else 0.0
-    texts_a, texts_b = {a["step_texts"][i] for i, _ in used.values()}, {b["step_texts"][j] for j in used}
-    order_a, order_b = ([f for f in s["step_fps"] if f in shared] for s in (a, b))
-    return Match(
-        percent(len(shared)), percent(len(shared) + len(used)), len(shared), len(used), bool(order_a) and order_a == order_b, match_type([s for _, s in used.values()]),
-        [t for t, f in zip(a["step_texts"], a["step_fps"]) if f in shared],
-        [a["step_texts"][i] for i in rest_a if a["step_texts"][i] not in texts_a],
-        [b["step_texts"][j] for j in rest_b if b["step_texts"][j] not in texts_b],
-    )
-
-
-def match_type(similarities: list[float]) -> str:
-    exact, near = any(s == 100 for s in similarities), any(s < 100 for s in similarities)
-    return "Mixed" if exact and near else "ParameterVariation" if exact else "FuzzyMatch" if near else "Exact"
+def greedy(settings: AnalysisSettings) -> tuple[Column, Column, Column]:
+    """Of the steps that a pair's scenarios don't share: their indexes in a and in b, and each of a with the first unused one
+    of b that is near enough (array of structs i, j, near). The columns are those of both sides; texts are normalised."""
+    shared = F.array_intersect("a_step_fps", "b_step_fps")
+    rest = lambda side: F.filter(F.sequence(F.lit(0), F.size(f"{side}_step_fps") - 1), lambda i: ~F.array_contains(shared, F.get(F.col(f"{side}_step_fps"), i)))
+    get = lambda side, name, i: F.get(F.col(f"{side}_{name}"), i)
+
+    def near(i: Column, j: Column) -> Column:
+        found = F.lit(0.0)
+        if settings.enable_fuzzy_matching:
+            found = similarity_of(get("a", "plain_texts", i), get("b", "plain_texts", j), settings.fuzzy_match_threshold)
+        if settings.enable_parameter_agnostic_matching:
+            found = F.when(get("a", "norm_texts", i) == get("b", "norm_texts", j), 100.0).otherwise(found)
+        return found
+
+    def step(done: Column, i: Column) -> Column:
+        unused = F.filter("rest_b", lambda j: ~F.exists(done, lambda d: d["j"] == j))
+        scored = F.filter(F.transform(unused, lambda j: F.struct(i.alias("i"), j.alias("j"), near(i, j).alias("near"))), lambda m: m["near"] >= settings.fuzzy_match_threshold)
+        return F.when(F.size(scored) > 0, F.array_append(done, F.get(scored, F.lit(0)))).otherwise(done)
+
+    return rest("a"), rest("b"), F.aggregate("rest_a", F.array().cast("array<struct<i:int,j:int,near:double>>"), step)
+
+
+def match_type(near: Column) -> Column:
+    """Of an array of similarities."""
+    exact, fuzzy = F.exists(near, lambda x: x == 100), F.exists(near, lambda x: x < 100)
+    return F.when(exact & fuzzy, "Mixed").when(exact, "ParameterVariation").when(fuzzy, "FuzzyMatch").otherwise("Exact")
+
+
+def with_fuzzy_scores(pairs: DataFrame, settings: AnalysisSettings) -> DataFrame:
+    """Equal steps, then near ones greedily, in the JVM."""
+    rest_a, rest_b, found = greedy(settings)
+    x = pairs.withColumns({"rest_a": rest_a, "rest_b": rest_b}).withColumn("near", found)
+    a, b = F.col("a_step_fps"), F.col("b_step_fps")
+    texts = lambda side, key: F.transform("near", lambda m: F.get(F.col(f"{side}_step_texts"), m[key]))
+    left = lambda side, key: F.filter(F.transform(f"rest_{side}", lambda i: F.get(F.col(f"{side}_step_texts"), i)), lambda t: ~F.array_contains(texts(side, key), t))
+    matching, smaller = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    shared = F.filter(F.arrays_zip(F.col("a_step_texts").alias("t"), a.alias("f")), lambda s: F.array_contains(b, s["f"]))
+    return x.select(
+        *pairs.columns,
+        overlap(a, b).alias("overlap"),
+        F.when(smaller > 0, F.bround((matching + F.size("near")).cast("double") / smaller * 100, 1)).otherwise(0.0).alias("fuzzy"),
+        matching.alias("matching"),
+        F.size("near").alias("additional"),
+        same_sequence(a, b).alias("same_sequence"),
+        match_type(F.col("near.near")).alias("match_type"),
+        F.transform(shared, lambda s: s["t"]).alias("matching_texts"),
+        left("a", "i").alias("unique_a"),
+        left("b", "j").alias("unique_b"),
+    )
 
 
 def duplicate_type(matching: Column, n_a: Column, n_b: Column, overlap: Column, match: Column) -> Column:
@@ -203,38 +178,33 @@ def duplicate_type(matching: Column, n_a: Column, n_b: Column, overlap: Column,
     )
 
 
-_SCORED = "overlap double, fuzzy double, matching int, additional int, same_sequence boolean, match_type string, matching_texts array<string>, unique_a array<string>, unique_b array<string>"
-
-
-def pairs(scenarios: DataFrame, settings: AnalysisSettings, blocked: bool = False) -> DataFrame:
-    """Accepted pairs with fuzzy step matching: every pair of a project that the numbers of steps allow is compared, or
-    those of blocked_pairs. Fuzzy matches have no key to join on, so this is quadratic in a project's scenarios."""
-    s = comparable(scenarios, settings)
+def candidates(scenarios: DataFrame, settings: AnalysisSettings) -> DataFrame:
+    """(project, a_ord, b_ord) to compare: all of a project, up to max_comparisons_per_project; beyond that those that share a
+    bucket or, with buckets off, those of the first scenarios that the cap allows."""
+    w = Window.partitionBy("project")
+    n = scenarios.groupBy("project").agg(F.count("*").alias("n"))
+    large = n.where(F.col("n") * (F.col("n") - 1) / 2 > settings.max_comparisons_per_project).select("project")
+    small = scenarios.join(large, "project", "left_anti")
+    big = scenarios.join(large, "project", "left_semi")
+    if not settings.enable_bucket_optimization:
+        small = small.unionByName(limited(big, settings))
+    a, b = small.select("project", F.col("ord").alias("a_ord")), small.select("project", F.col("ord").alias("b_ord"))
+    every = a.join(b, "project").where("a_ord < b_ord")
+    return every.unionByName(blocked_pairs(big, settings)) if settings.enable_bucket_optimization else every
+
+
+def pairs(scenarios: DataFrame, settings: AnalysisSettings) -> DataFrame:
+    """Accepted pairs, among candidates, by equal steps and with fuzzy step matching. Fuzzy matches have no key to join on, so
+    comparing all pairs is quadratic in a project's scenarios up to the cap; without fuzzy and parameter-agnostic matching
+    pairs come from exact_pairs, with no cap."""
     if not settings.enable_fuzzy_matching and not settings.enable_parameter_agnostic_matching:
         found = exact_pairs(scenarios, settings)
         return found.select(*(c for c in found.columns if c[:2] in ("a_", "b_") or c == "project"), *_exact_scores())
+    # written once: each side and the candidates read it
+    s = cut(comparable(scenarios, settings).withColumn("plain_texts", F.transform("step_texts", normalize_fuzzy)))
     a, b = _sides(s)
-    joined = blocked_pairs(s, settings).join(a, ["project", "a_ord"]).join(b, ["project", "b_ord"]) if blocked else a.join(b, "project")
-    joined = joined.where(_pair_filter(settings))
-    fields = ("step_fps", "step_texts", "norm_texts")
-    schema = joined.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.select([f"{side}_{f}" for side in "ab" for f in fields]).to_pylist():
-                m = compare({f: r[f"a_{f}"] for f in fields}, {f: r[f"b_{f}"] for f in fields}, settings)
-                rows.append(m.__dict__)
-            lists = pa.list_(pa.string())
-            types = [pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), lists, lists, lists]
-            names = list(Match.__dataclass_fields__)
-            scored = [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *scored], [*batch.schema.names, *names])
-
-    from pyspark.sql.types import StructType
-
-    ready(scenarios.sparkSession)
-    scored = joined.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(_SCORED).fields]))
+    joined = candidates(s, settings).join(a, ["project", "a_ord"]).join(b, ["project", "b_ord"]).where(_pair_filter(settings))
+    scored = with_fuzzy_scores(joined, settings).drop("a_plain_texts", "b_plain_texts")
     threshold, few = settings.scenario_overlap_threshold, settings.max_unique_steps_for_duplicate
     near = (F.col("overlap") >= threshold) | (F.lit(settings.enable_fuzzy_matching) & (F.col("fuzzy") >= threshold))
     return first_of_fingerprints(scored.where(near & (F.size("unique_a") <= few) & (F.size("unique_b") <= few)))

@@ -121,7 +121,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_similarity_query_equals_brute_force(spark):
-    from stepweave.operators.scenarios import text_similarity
+    from brute import text_similarity
     from stepweave.plans.queries import lines
 
     by_doc: dict = {}

@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 
 from stepweave.functions.text import similarity
 from stepweave.operators import matching as M
-from stepweave.operators.scenarios import edit_distance, text_similarity
+from brute import edit_distance, text_similarity
 
 PATTERNS = [
     "count {int} sheep", "the barn is shut", "there is a(n) owl", "they hear/heard an owl", "^farmer feeds and leaves|locks barn$", "^farmer (.*) milks cow$", "weigh {int}kgs total", "pre{word}", "the sky is Blue",

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from brute import compare
 from pyspark.sql import functions as F
 
 from stepweave.functions import text as T
@@ -34,7 +37,6 @@ def test_pair_memo_over_projects(spark):
 
 def test_exact_equals_all_pairs(spark):
     import itertools
-    import random
 
     r = random.Random(6)
     words = [f"w{i}" for i in range(9)]
@@ -62,6 +64,39 @@ def test_fuzzy_matching_is_greedy(spark):
     assert m["match_type"] == "ParameterVariation" and m["additional"] == 2
 
 
+def test_pairs_match_brute_force_with_any_setting(spark):
+    r = random.Random(4)
+    words = "the user opens page types word saves file number one two".split()
+    line = lambda: f"{' '.join(r.choice(words) for _ in range(4))} {r.randrange(3)}"
+    rows = []
+    for k in range(14):
+        base = [line() for _ in range(r.randrange(3, 7))]
+        vary = lambda t: t.replace("0", "1") if r.random() < 0.3 else t + "s" if r.random() < 0.3 else t
+        rows += [("pq"[k % 2], base), ("pq"[k % 2], [vary(t) for t in base]), ("pq"[k % 2], [vary(t) for t in base] + [line()] * (k % 3))]
+    for options in ({}, {"enable_parameter_agnostic_matching": False}, {"enable_fuzzy_matching": False}, {"max_comparisons_per_project": 20}, {"max_comparisons_per_project": 20, "enable_bucket_optimization": False}):
+        s = AnalysisSettings(**options)
+        one = lambda t: {"step_fps": t, "step_texts": t, "norm_texts": [normalize(x) for x in t]}
+        blocked = {(x["a_ord"], x["b_ord"]) for x in D.blocked_pairs(D.comparable(frame(spark, rows), s), s).collect()}
+        expected, seen = {}, set()
+        for project in "pq":
+            own = [i for i, (p, t) in enumerate(rows) if p == project]
+            few = len(own) * (len(own) - 1) / 2 <= s.max_comparisons_per_project
+            if not few and not s.enable_bucket_optimization:
+                own = own[: int((2 * s.max_comparisons_per_project) ** 0.5)]
+            for i in own:
+                for j in own:
+                    a, b = rows[i][1], rows[j][1]
+                    if i >= j or not few and s.enable_bucket_optimization and (i, j) not in blocked or abs(len(a) - len(b)) > max(len(a), len(b)) * (1.0 - 80.0 / 100.0):
+                        continue
+                    m = compare(one(a), one(b), s)
+                    key = tuple(sorted((tuple(sorted(a)), tuple(sorted(b)))))
+                    if (m.overlap >= 80 or s.enable_fuzzy_matching and m.fuzzy >= 80) and max(len(m.unique_a), len(m.unique_b)) <= 5 and key not in seen:
+                        seen.add(key)
+                        expected[i, j] = (m.overlap, m.fuzzy, m.matching, m.additional, m.same_sequence, m.match_type, m.matching_texts, m.unique_a, m.unique_b)
+        found = {k: tuple(v[c] for c in "overlap fuzzy matching additional same_sequence match_type matching_texts unique_a unique_b".split()) for k, v in pairs(spark, rows, **options).items()}
+        assert found == expected and expected
+
+
 @pytest.mark.parametrize(("matching", "a", "b", "overlap", "match", "kind"), [(4, 4, 4, 100.0, "Exact", "Exact"), (3, 3, 6, 100.0, "Exact", "Superset"), (3, 6, 3, 100.0, "Exact", "Subset"), (4, 5, 5, 80.0, "Exact", "HighOverlap"), (4, 5, 5, 80.0, "ParameterVariation", "ParameterVariation"), (4, 5, 5, 80.0, "FuzzyMatch", "FuzzyMatch"), (4, 5, 5, 80.0, "Mixed", "HighOverlap")])
 def test_duplicate_types(spark, matching, a, b, overlap, match, kind):
     row = spark.createDataFrame([(matching, a, b, overlap, match)], "m int, a int, b int, o double, t string")
@@ -92,7 +127,7 @@ def test_production_queries_find_varied_scenarios(spark, tmp_path):
     for i, x in rows:
         for j, y in rows:
             if i < j:
-                m = D.compare(*({"step_fps": z, "step_texts": z, "norm_texts": [normalize(t) for t in z]} for z in (x, y)), settings)
+                m = compare(*({"step_fps": z, "step_texts": z, "norm_texts": [normalize(t) for t in z]} for z in (x, y)), settings)
                 if max(m.overlap, m.fuzzy) >= settings.scenario_overlap_threshold:
                     expected[i, j] = (m.overlap, m.fuzzy, m.match_type)
     assert expected.keys() >= {(1, 2)}
