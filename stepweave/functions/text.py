@@ -86,46 +86,3 @@ def strip_match(text: Column) -> Column:
     """A pattern or step without leading keyword and anchors."""
     bare = strip(F.regexp_replace(strip(text), r"(?i)^(?:Given |When |Then |And |But |\* )", ""))
     return F.regexp_replace(F.regexp_replace(bare, r"^\^+", ""), r"\$+$", "")
-
-
-def placeholders(text: Column) -> Column:
-    """Names between < and > that can be a column's."""
-    names = F.regexp_extract_all(text, F.lit(r"<([^>]+)>"), F.lit(1))
-    return F.filter(names, lambda n: n.rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*$"))
-
-
-def is_cucumber(pattern: Column) -> Column:
-    """expressions.is_cucumber of a column. The order of the tests matters."""
-    return (
-        F.when(F.startswith(pattern, F.lit("^")) | F.endswith(pattern, F.lit("$")), False)
-        .when(pattern.rlike(r"\{\w*\}"), True)
-        .when(pattern.rlike(r"\([^)]+[*+]\)|\.\*"), False)
-        .when(pattern.rlike(r"\\\.|\\d\+"), False)
-        .otherwise(True)
-    )
-
-
-def effective_regex(pattern: Column) -> Column:
-    """expressions.effective_regex of a column."""
-    anchor = lambda there, sign: F.when(there, F.lit("")).otherwise(F.lit(sign))
-    return F.concat(anchor(F.startswith(pattern, F.lit("^")), "^"), pattern, anchor(F.endswith(pattern, F.lit("$")), "$"))
-
-
-def convention_text(method: Column) -> Column:
-    """expressions.convention_text of a method without parameters."""
-    words = F.regexp_extract_all(method, F.lit("([A-Z][a-z0-9]*)"), F.lit(1))
-    keyword = F.get(words, F.lit(0)).isin("Given", "When", "Then", "And", "But") & (F.size(words) > 1)
-    return F.array_join(F.when(keyword, F.slice(words, F.lit(2), F.size(words))).otherwise(words), " ")
-
-
-def tags_of(line: Column) -> Column:
-    """The tags of a line between spaces."""
-    return F.filter(F.split(line, " "), lambda t: F.startswith(t, F.lit("@")))
-
-
-def kept_by_tags(tags: Column, excluded: list[str], only: list[str]) -> Column:
-    """Whether tags hold none that is excluded and, if only isn't empty, one of those; whatever their case."""
-    low = F.transform(tags, F.lower)
-    among = lambda names: F.arrays_overlap(low, F.array(*(F.lit(n.lower()) for n in names)))
-    keep = ~among(excluded) if excluded else F.lit(True)
-    return keep & among(only) if only else keep

@@ -119,12 +119,16 @@ def accepted(unused: DataFrame, issues: DataFrame) -> DataFrame:
     return unused.join(first, "binding_id", "left")
 
 
+def line_gap(partition: list[str]) -> Column:
+    """Lines since the one before in the partition."""
+    return F.col("line_no") - F.lag("line_no").over(Window.partitionBy(*partition).orderBy("line_no"))
+
+
 def without_aliases(bindings: DataFrame, partition: Iterable[str] = ()) -> DataFrame:
     """Of attributes on one method no more than five lines apart, that with the preferred type; others stay."""
     keys = [*partition, "path", "method"]
-    by_line = Window.partitionBy(*keys).orderBy("line_no")
     preference = F.coalesce(F.array_position(F.array(*map(F.lit, PREFERENCE)), F.col("type")), F.lit(0))
-    gap = bindings.withColumn("__gap", F.col("line_no") - F.lag("line_no").over(by_line))
+    gap = bindings.withColumn("__gap", line_gap(keys))
     wide = gap.withColumn("__wide", F.max("__gap").over(Window.partitionBy(*keys)))
     first = wide.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy(preference, "binding_id")))
     return first.where("__wide is null or __wide > 5 or __first = 1").drop("__gap", "__wide", "__first")

@@ -98,6 +98,11 @@ def literal_hints(literals: DataFrame) -> DataFrame:
     return shaped.groupBy(F.col("value").alias("name")).agg(F.min_by(place, F.struct("path", "line_no")).alias("hint"))
 
 
+def without_names(candidates: DataFrame, markup: DataFrame) -> DataFrame:
+    """candidates whose name markup (name) doesn't mention."""
+    return candidates.join(markup, "name", "left_anti")
+
+
 def unused_code(declarations: DataFrame, references: DataFrame, literals: DataFrame, markup: DataFrame, settings: UnusedCodeSettings) -> DataFrame:
     """(kind, project?, path, line_no, containing, name, visibility, signature, hint) of candidates that neither code nor
     markup (name) refers to."""
@@ -109,7 +114,7 @@ def unused_code(declarations: DataFrame, references: DataFrame, literals: DataFr
     if not found:
         return declarations.limit(0).withColumn("hint", F.lit(None).cast("string"))
     every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return every.join(markup, "name", "left_anti").join(literal_hints(literals), "name", "left")
+    return without_names(every, markup).join(literal_hints(literals), "name", "left")
 
 
 def totals(declarations: DataFrame, settings: UnusedCodeSettings) -> DataFrame:

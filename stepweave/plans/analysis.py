@@ -38,6 +38,11 @@ class Features:
         return self.parsed.agg(F.count("*").alias("files"), F.count_distinct("project").alias("projects"), F.sum(F.size("scenarios")).alias("scenarios"), F.sum(F.size("steps")).alias("steps"), F.sum("excluded").alias("excluded"))
 
 
+    def steps_by_project(self) -> DataFrame:
+        """(project, steps)."""
+        return self.rows("steps").groupBy("project").agg(F.count("*").alias("steps"))
+
+
 def features(spark: SparkSession, settings: Settings) -> Features:
     """Feature files of the folders of each solution; a file directly in the solution's folder belongs to none."""
     found = []

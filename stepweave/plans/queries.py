@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.functions import expressions as E
 from stepweave.functions import text as T
 from stepweave.operators import bindings as B
+from stepweave.operators import gherkin as G
 from stepweave.operators import matching as M
 from stepweave.operators import scenarios as D
-from stepweave.operators import sequences as Q
 from stepweave.operators import steps as P
 from stepweave.operators import unused as U
+from stepweave.plans.analysis import Features
 from stepweave.session import ready
 from stepweave.settings import AnalysisSettings
 from stepweave.sources.files import markup_names, wildcard
@@ -107,14 +110,19 @@ def step_fingerprint(spark, d):
     return lines(spark, d).select("doc_id", "line_no", T.step_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query()
+_LETTERS = "translate({}, 'ßäçèéêíñóöüàáâëîïôùúûœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, line_no, text, {_LETTERS.format(fuzzy('text'))} AS x FROM lines), p AS (SELECT *, lead(x) OVER w AS y, lead(text) OVER w AS other FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, CASE WHEN x = y THEN 100.0::DOUBLE ELSE round_even((1.0::DOUBLE - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE) * 100, 1) END AS similarity FROM p WHERE other IS NOT NULL""")
 def step_similarity(spark, d):
-    """Each line with the next of its document. DuckDB's edit distance counts bytes, so there is no SQL."""
+    """Each line with the next of its document. The SQL writes letters beyond ASCII as capitals, which normalised lines don't
+    have: its edit distance counts bytes."""
     from pyspark.sql import Window
 
-    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    pairs = lines(spark, d).withColumn("other", after).where("other is not null")
-    return pairs.select("doc_id", "line_no", T.similarity(F.col("text"), F.col("other")).alias("similarity"))
+    after = F.lead("plain").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    plain = lines(spark, d).select("doc_id", "line_no", T.normalize_fuzzy(F.col("text")).alias("plain"))
+    return plain.withColumn("other", after).where("other is not null").select("doc_id", "line_no", T.similarity_of(F.col("plain"), F.col("other")).alias("similarity"))
 
 
 def scenarios(spark: SparkSession, d: str) -> DataFrame:
@@ -267,38 +275,66 @@ def scenario_blocking(spark, d):
 # sequences
 
 
+def as_files(df: DataFrame, project: str, path: str, lines: Column, head: str = "Feature: f") -> DataFrame:
+    """Feature files of these lines (an array)."""
+    return df.select(F.col(project).cast("string").alias("project"), F.col(path).cast("string").alias("path"), F.concat(F.lit(f"{head}\n"), F.array_join(lines, "\n")).alias("content"))
+
+
+def conversation_files(spark: SparkSession, d: str, line: Callable[[Column], Column], head: str) -> DataFrame:
+    """A feature file for each conversation: for each turn (struct turn, role), in order, a line or lines."""
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return as_files(rows, "conv_id", "conv_id", F.transform("r", line), head)
+
+
+def by_role(role: Column, system: str, user: str, other: str) -> Column:
+    return F.when(role == "system", system).when(role == "user", user).otherwise(other)
+
+
 @query("""SELECT conv_id, turn, last_value(CASE role WHEN 'system' THEN 'Given' WHEN 'user' THEN 'When' END IGNORE NULLS)
 OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS keyword FROM conversations""")
 def keyword_inheritance(spark, d):
-    c = read(spark, d, "conversations")
-    written = F.when(F.col("role") == "system", "Given").when(F.col("role") == "user", "When").otherwise("And")
-    return c.select("conv_id", "turn", Q.resolved_keyword(written, Q.in_order(["conv_id"], ["turn"])).alias("keyword"))
+    """Turns as steps of one scenario, parsed from feature text."""
+    files = conversation_files(spark, d, lambda r: F.concat(by_role(r["role"], "Given", "When", "And"), F.lit(" turn "), r["turn"].cast("string")), "Feature: f\nScenario: s")
+    steps = G.explode(G.parse_corpus(files, []), "steps")
+    return steps.select(F.col("path").cast("long").alias("conv_id"), F.substring_index("text", " ", -1).cast("long").alias("turn"), "keyword")
 
 
 HEADER = "position('!!' IN text) > 0"
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, (sum(({HEADER})::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS block FROM lines")
+def block_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as feature files: a line with !! heads a scenario named by its number, others are steps."""
+    x = lines(spark, d).withColumn("as", F.concat(F.when(F.contains("text", F.lit("!!")), "Scenario: ").otherwise("Given "), F.col("line_no").cast("string")))
+    rows = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "as"))).alias("r"))
+    steps = G.explode(G.parse_corpus(as_files(rows, "doc_id", "doc_id", F.transform("r", lambda r: r["as"])), []), "steps")
+    return steps.select(F.col("path").cast("long").alias("doc_id"), F.col("text").cast("long").alias("line_no"), F.col("scenario").cast("long").alias("block"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_no, block FROM (SELECT doc_id, line_no, text, max(CASE WHEN {HEADER} THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM lines) WHERE block IS NOT NULL AND NOT {HEADER}")
 def block_ids(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", Q.block_id(F.contains("text", F.lit("!!")), Q.in_order(["doc_id"], ["line_no"])).alias("block"))
+    """The block of each step, by its heading's line."""
+    return block_steps(spark, d)
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, bool_or({HEADER}) OVER (PARTITION BY doc_id ORDER BY line_no) AS inside FROM lines")
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS inside FROM (SELECT doc_id, text, bool_or({HEADER}) OVER (PARTITION BY doc_id ORDER BY line_no) AS inside FROM lines) WHERE inside AND NOT {HEADER} GROUP BY 1")
 def inside_block_flag(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", Q.inside_block(F.contains("text", F.lit("!!")), Q.in_order(["doc_id"], ["line_no"])).alias("inside"))
+    """How many lines of a document are steps because a heading stands above them."""
+    return block_steps(spark, d).groupBy("doc_id").agg(F.count("*").alias("inside"))
 
 
-@query("""WITH b AS (SELECT conv_id, turn, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS block, role FROM conversations)
-SELECT conv_id, turn, last_value(CASE WHEN role = 'system' THEN block END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS background FROM b""")
+@query("""WITH b AS (SELECT conv_id, turn, role, max(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS background FROM conversations)
+SELECT conv_id, turn, background FROM b WHERE role = 'user'""")
 def background_of_block(spark, d):
-    c = read(spark, d, "conversations")
-    c = c.withColumn("block", Q.block_id(F.col("role") == "user", Q.in_order(["conv_id"], ["turn"])))
-    return Q.with_background(c, "conv_id", "turn", F.col("role") == "system").select("conv_id", "turn", F.col("background_of").alias("background"))
+    """User turns as scenarios, system turns as backgrounds: that which stands above a scenario."""
+    line = lambda r: F.concat(by_role(r["role"], "Background:\nGiven b ", "Scenario: s\nWhen w ", "Then t "), r["turn"].cast("string"))
+    s = G.explode(G.parse_features(conversation_files(spark, d, line, "Feature: f"), AnalysisSettings(include_background_steps=False)), "scenarios")
+    number = lambda text: F.substring_index(text, " ", -1).cast("long")
+    return s.select(F.col("path").cast("long").alias("conv_id"), number(F.col("step_texts")[0]).alias("turn"), number(F.get("background_steps", F.lit(0))).alias("background"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, line_no - lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM lines")
 def line_gaps(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", Q.line_gap(["doc_id"]).alias("gap"))
+    return lines(spark, d).select("doc_id", "line_no", M.line_gap(["doc_id"]).alias("gap"))
 
 
 # bindings: the lines of the benchmark's passages as patterns
@@ -354,9 +390,12 @@ def most_used_top20(spark, d):
 SELECT k AS pattern, n AS usage_count FROM steps JOIN b USING (k) WHERE n > 1""")
 def literal_binding_match(spark, d):
     """Lines that occur again, as plain-text bindings of all lines."""
-    x = lines(spark, d).select(T.step_key(F.col("text")), "text")
-    plain = x.where(~F.col("text").rlike(r"[{}()/\\]")).select(F.col("key").alias("pattern")).distinct()
-    return x.groupBy("key").agg(F.count("*").alias("usage_count")).where("usage_count > 1").join(plain, F.col("key") == F.col("pattern")).select("pattern", "usage_count")
+    x = lines(spark, d)
+    plain = x.where(~F.col("text").rlike(r"[{}()/\\]")).select(T.step_key(F.col("text"))).distinct()
+    bindings = plain.select(F.xxhash64("key").alias("binding_id"), F.lit("StepDefinition").alias("type"), F.col("key").alias("pattern"))
+    steps = x.groupBy(T.step_key(F.col("text")), F.lit(None).cast("string").alias("keyword")).agg(F.count("*").alias("usage_count")).where("usage_count > 1")
+    found = M.literal_matches(steps, bindings, bindings.select("binding_id", F.lit(True).alias("is_literal")))
+    return found.select(F.col("key").alias("pattern")).join(steps.select(F.col("key").alias("pattern"), "usage_count"), "pattern")
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, item_id FROM lines JOIN benchmark b ON position(b.text IN lines.text) > 0")
@@ -394,14 +433,24 @@ CUCUMBER = r"""CASE WHEN starts_with(text, '^') OR ends_with(text, '$') THEN fal
 WHEN regexp_matches(text, '\([^)]+[*+]\)|\.\*') THEN false WHEN regexp_matches(text, '\\\.|\\d\+') THEN false ELSE true END"""
 
 
+def of_pattern(f: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
+    """What a function of patterns says, a batch at a time. Bindings are few and compiled on the driver; here are many."""
+
+    @F.pandas_udf(kind)
+    def run(patterns: pd.Series) -> pd.Series:
+        return patterns.map(f)
+
+    return run
+
+
 @query(f"WITH {LINES} SELECT doc_id, line_no, {CUCUMBER} AS cucumber FROM lines")
 def grammar_router(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", T.is_cucumber(F.col("text")).alias("cucumber"))
+    return lines(spark, d).select("doc_id", "line_no", of_pattern(E.is_cucumber, "boolean")(F.col("text")).alias("cucumber"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, (CASE WHEN starts_with(text, '^') THEN '' ELSE '^' END) || text || (CASE WHEN ends_with(text, '$') THEN '' ELSE '$' END) AS regex FROM lines")
 def effective_regex(spark, d):
-    return lines(spark, d).select("doc_id", "line_no", T.effective_regex(F.col("text")).alias("regex"))
+    return lines(spark, d).select("doc_id", "line_no", of_pattern(E.effective_regex, "string")(F.col("text")).alias("regex"))
 
 
 KINDS = ("Given", "When", "Then", "StepDefinition", "And")
@@ -419,7 +468,36 @@ def keyword_compatibility(spark, d):
 @query("""SELECT p_partkey, array_to_string(CASE WHEN len(w) > 1 AND w[1] IN ('Given', 'When', 'Then', 'And', 'But') THEN w[2:] ELSE w END, ' ') AS step
 FROM (SELECT p_partkey, regexp_extract_all(p_type || p_brand, '[A-Z][a-z0-9]*') AS w FROM part)""")
 def convention_pattern(spark, d):
-    return read(spark, d, "part").select("p_partkey", T.convention_text(F.concat("p_type", "p_brand")).alias("step"))
+    return read(spark, d, "part").select("p_partkey", of_pattern(lambda m: E.convention_text(m, 0), "string")(F.concat("p_type", "p_brand")).alias("step"))
+
+
+#: Cases of each matching rule: pattern, step, whether it binds.
+CASES = (
+    ("a basket is filled", "a basket is filled twice", False), ("a basket is filled", "a basket is filled", True), ("shopper pays the bill", "shopper pays the bill by card", False),
+    ("^shopper opens and reads|closes a letter$", "shopper opens and reads a long letter", True), ("I own a(n) apple", "I own an apple", True), ("I own a(n) apple", "I own a apple", True),
+    ("I see/saw a comet", "I saw a comet", True), ("I see/saw a comet", "I seek a comet", False), ("{Int32} boats leave", "7 boats leave", True), ("{int} boats leave", "7 boats leave", True),
+    ("{int} boats leave", "some boats leave", False), ("^clerk stamps (.*) form$", "clerk stamps the blue form", True), ("^clerk stamps (.*) form$", "clerk burns the blue form", False),
+    ("^the (SHOULD|should NOT) case stays$", "the SHOULD case stays", True),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, _, ok) in enumerate(CASES)) + ") t(id, bound)")
+def matcher_cases(spark, d):
+    """Whether the pattern of each case binds its step, through compilation, index and residual."""
+    bindings = ready(spark).createDataFrame([(i, "p", "f", "C", "m", "StepDefinition", p, i, 0, False) for i, (p, _, _) in enumerate(CASES)], M.BINDING)
+    steps = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(CASES)], "id int, text string").withColumn("key", T.step_key(F.col("text")))
+    keys = M.step_keys(steps.select("text", F.lit(None).cast("string").alias("keyword"), F.lit("f").alias("path"), F.col("id").alias("ord")))
+    found = M.matches(keys, bindings, M.compile_bindings(bindings)).select("key", F.col("binding_id").cast("int").alias("id"), F.lit(True).alias("hit"))
+    return steps.join(found, ["key", "id"], "left").select("id", F.coalesce("hit", F.lit(False)).alias("bound"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS x FROM conversations GROUP BY 1), p AS (SELECT conv_id, x, lead(x) OVER (ORDER BY conv_id) AS y FROM c)
+SELECT conv_id, len(list_filter(x, lambda e: list_contains(y, e))) > 0 AND list_filter(x, lambda e: list_contains(y, e)) = list_filter(y, lambda e: list_contains(x, e)) AS same FROM p WHERE y IS NOT NULL""")
+def same_sequence(spark, d):
+    """Whether a conversation's roles and those of the next come in one order."""
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r")).select("conv_id", F.transform("r", lambda r: r["role"]).alias("x"))
+    following = c.select((F.col("conv_id") - 1).alias("conv_id"), F.col("x").alias("y"))
+    return c.join(following, "conv_id").select("conv_id", D.same_sequence(F.col("x"), F.col("y")).alias("same"))
 
 
 def line_bindings(spark: SparkSession, d: str) -> DataFrame:
@@ -474,7 +552,7 @@ def markup_references(spark, d):
 def unreferenced_names(spark, d):
     parts = read(spark, d, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("([A-Za-z]+)"), F.lit(1))).alias("name"))
     candidates = parts.union(read(spark, d, "nation").select(F.col("n_name"))).distinct()
-    return candidates.join(markup_references(spark, d), "name", "left_anti")
+    return U.without_names(candidates, markup_references(spark, d))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '"([^"]*)"', 1)) AS value FROM pages)
@@ -490,42 +568,42 @@ _DEFINED = ("P", "b", "li", "ul", "nav")
 @query(f"""SELECT page_id, name FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<([^>]+)>', 1)) AS name FROM pages)
 WHERE regexp_matches(name, '^[a-zA-Z_][a-zA-Z0-9_]*$') AND lower(name) NOT IN ({', '.join(f"'{x.lower()}'" for x in _DEFINED)})""")
 def undefined_placeholders(spark, d):
-    """Tags without attributes as placeholders of a page, of which some are defined."""
-    defined = ready(spark).createDataFrame([(x.lower(),) for x in _DEFINED], "low string")
-    names = read(spark, d, "pages").select("page_id", F.explode(F.array_distinct(T.placeholders(F.col("html")))).alias("name"))
-    return names.join(defined, F.lower("name") == F.col("low"), "left_anti")
+    """A page's tags in the step of an outline whose Examples have some of them: the parser's data errors."""
+    tags = F.regexp_replace(F.array_join(F.regexp_extract_all("html", F.lit("(<[^>]+>)"), F.lit(1)), " "), r"\s+", " ")
+    lines_ = F.array(F.lit("Scenario Outline: o"), F.concat(F.lit("Given "), tags), F.lit("Examples:"), F.lit("| " + " | ".join(_DEFINED) + " |"), F.lit("| 1 " * len(_DEFINED) + "|"))
+    pages = as_files(read(spark, d, "pages"), "page_id", "page_id", lines_)
+    errors = G.explode(G.parse_features(pages, AnalysisSettings()), "errors").where("error_type = 'UndefinedPlaceholder'")
+    return errors.select(F.col("path").cast("long").alias("page_id"), F.explode(F.array_distinct("undefined")).alias("name"))
 
 
 # feature text
 
-FEATURE = [("a", 1, "Given <n> items"), ("a", 2, "| item | n |"), ("a", 3, "| pen  | 1 |"), ("a", 4, "| ink || 2 | 3 |"), ("a", 6, "| x |"), ("a", 7, "| y |"), ("b", 1, "| only | head |"), ("b", 3, "When <n> of <kind> go")]
-_FEATURE = ", ".join(f"('{p}', {n}, '{t}')" for p, n, t in FEATURE)
-
-
-@query(f"""WITH f AS (SELECT * FROM (VALUES {_FEATURE}) t(path, line_no, text) WHERE starts_with(text, '|')),
-g AS (SELECT *, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS island, list_transform(list_filter(string_split(text, '|'), lambda c: c <> ''), lambda c: trim(c)) AS cells FROM f),
-h AS (SELECT *, first_value(cells) OVER (PARTITION BY path, island ORDER BY line_no) AS heads, min(line_no) OVER (PARTITION BY path, island) AS first_line FROM g)
-SELECT path, first_line::BIGINT AS first_line, line_no - first_line AS row_no, unnest(heads[1:least(len(heads), len(cells))]) AS head, unnest(cells[1:least(len(heads), len(cells))]) AS cell FROM h WHERE line_no > first_line""")
+@query("SELECT r_name AS region, n_nationkey::VARCHAR AS key, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def data_table_parse(spark, d):
-    t = Q.tables(ready(spark).createDataFrame(FEATURE, "path string, line_no long, text string"))
-    rows = t.select("path", "first_line", F.posexplode("rows").alias("i", "row"))
-    return rows.select("path", "first_line", (F.col("i") + 1).cast("long").alias("row_no"), F.explode("row").alias("head", "cell"))
+    """Regions as steps with the table of their nations, parsed from feature text."""
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" |"), "n_name", F.lit("|")))).alias("rows"))
+    files = as_files(rows, "r_name", "r_name", F.concat(F.array(F.lit("Given nations"), F.lit("| key | name |")), F.col("rows")), "Feature: f\nScenario: s")
+    table = G.explode(G.parse_features(files, AnalysisSettings()), "steps").select("path", F.explode("table").alias("row"))
+    return table.select(F.col("path").alias("region"), F.col("row")["key"].alias("key"), F.col("row")["name"].alias("name"))
 
 
-@query("""WITH s AS (SELECT conv_id AS block, turn AS line_no, text || ' <role> <turn>' AS text FROM conversations), r AS (SELECT conv_id AS block, turn AS row_line, role, turn::VARCHAR AS t FROM conversations)
-SELECT s.block, line_no, row_line, replace(replace(text, '<role>', role), '<turn>', t) AS text FROM s JOIN r ON r.block = s.block AND r.row_line > s.line_no""")
+@query("""SELECT s.conv_id AS block, 'step ' || s.turn || ' ' || r.role || ' ' || r.turn AS text FROM conversations s JOIN conversations r ON r.conv_id = s.conv_id AND r.turn > s.turn""")
 def examples_expansion(spark, d):
     """Each turn as a step once for every later turn of its conversation, as an Examples row of role and turn."""
-    c = read(spark, d, "conversations")
-    steps = c.select(F.col("conv_id").alias("block"), F.col("turn").alias("line_no"), F.concat("text", F.lit(" <role> <turn>")).alias("text"))
-    rows = c.select(F.col("conv_id").alias("block"), F.col("turn").alias("line_no"), F.array(F.lit("role"), F.lit("turn")).alias("headers"), F.array("role", F.col("turn").cast("string")).alias("cells"))
-    return Q.examples_rows(steps, rows).select("block", "line_no", "row_line", "text")
+    turn = lambda r: r["turn"].cast("string")
+    line = lambda r: F.concat(F.lit("Examples:\n| role | turn |\n| "), r["role"], F.lit(" | "), turn(r), F.lit(" |\nGiven step "), turn(r), F.lit(" <role> <turn>"))
+    steps = G.explode(G.parse_corpus(conversation_files(spark, d, line, "Feature: f\nScenario Outline: s"), []), "steps")
+    return steps.where("not contains(text, '<')").select(F.col("path").cast("long").alias("block"), "text")
 
 
 @query("SELECT doc_id, list_filter(string_split('@' || lang || ' x @' || source, ' '), lambda t: starts_with(t, '@')) AS tags FROM documents WHERE lang <> 'fr' AND (source = 'src1' OR lang = 'en')")
 def tag_filter(spark, d):
-    docs = read(spark, d, "documents").withColumn("tags", T.tags_of(F.concat(F.lit("@"), "lang", F.lit(" x @"), "source")))
-    return docs.where(T.kept_by_tags(F.col("tags"), ["@FR"], ["@SRC1", "@en"])).select("doc_id", "tags")
+    """Scenarios that tags leave in, read by the parser; tags stand both where a scenario begins and where it ends."""
+    tags = F.concat(F.lit("@"), "lang", F.lit(" x @"), "source")
+    files = as_files(read(spark, d, "documents"), "lang", "doc_id", F.array(tags, F.lit("Scenario: s"), F.lit("Given a"), tags))
+    s = G.explode(G.parse_features(files, AnalysisSettings(exclude_scenario_tags=["@FR"], include_only_tags=["@SRC1", "@en"])), "scenarios")
+    return s.select(F.col("path").cast("long").alias("doc_id"), "tags")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)^.*a.*e$')")
@@ -536,15 +614,21 @@ def wildcard_names(spark, d):
 # counters and graphs
 
 
-@query(f"WITH {LINES} SELECT (SELECT count(*) FROM documents) AS files, count(DISTINCT lang) AS projects, count(*) AS steps, count(DISTINCT text) AS texts FROM lines")
+def document_files(spark: SparkSession, d: str) -> Features:
+    """Documents as feature files of one scenario, their lines as steps."""
+    steps = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("Given "), x))
+    files = as_files(read(spark, d, "documents"), "lang", "doc_id", steps, "Feature: f\nScenario: s")
+    return Features(G.parse_features(files, AnalysisSettings()))
+
+
+@query(f"WITH {LINES} SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(DISTINCT lang) FROM documents) AS projects, count(DISTINCT doc_id) AS scenarios, count(*) AS steps, 0::BIGINT AS excluded FROM lines")
 def scan_counters(spark, d):
-    docs, x = read(spark, d, "documents"), lines(spark, d)
-    return docs.agg(F.count("*").alias("files")).crossJoin(x.agg(F.count_distinct("lang").alias("projects"), F.count("*").alias("steps"), F.count_distinct("text").alias("texts")))
+    return document_files(spark, d).counters()
 
 
 @query(f"WITH {LINES} SELECT lang AS project, count(*) AS steps FROM lines GROUP BY 1")
 def project_step_counts(spark, d):
-    return lines(spark, d).groupBy(F.col("lang").alias("project")).agg(F.count("*").alias("steps"))
+    return document_files(spark, d).steps_by_project()
 
 
 @query("""WITH RECURSIVE c AS (

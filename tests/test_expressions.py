@@ -27,16 +27,6 @@ def test_router_order():
     assert all(map(E.is_cucumber, cucumber)) and not any(map(E.is_cucumber, regular))
 
 
-def test_router_column_agrees(spark):
-    from pyspark.sql import functions as F
-
-    from stepweave.functions import text as T
-
-    patterns = [p for p, _, _ in CASES] + ["", "{}", "(a*)", "a{b c}d", "$", r"\d+"]
-    rows = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", T.is_cucumber(F.col("p")), T.effective_regex(F.col("p"))).collect()
-    assert [(E.is_cucumber(p), E.effective_regex(p)) for p, _, _ in rows] == [(a, b) for _, a, b in rows]
-
-
 def test_indeterminate(spark):
     assert E.compile_binding(spark, "a {Colour} car").reason and E.compile_binding(spark, "^(unclosed$").reason and E.compile_binding(spark, "x", unresolvable=True).reason
     assert E.compile_binding(spark, "a {Colour} car", types=E.PARAMETER_TYPES | {"Colour": "(?i:red|blue)"}).regex == "^a\\ (?:(?i:red|blue))\\ car$"
