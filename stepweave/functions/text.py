@@ -37,9 +37,11 @@ def normalize_fuzzy(text: Column) -> Column:
 def similarity_of(x: Column, y: Column, at_least: float = 0.0) -> Column:
     """0 to 100, by characters that an edit of two normalised texts leaves; less than at_least may come as 0."""
     longest = F.greatest(F.length(x), F.length(y)).cast("double")
-    near = F.bround((F.lit(1.0) - F.levenshtein(x, y) / longest) * 100, 1)
-    apart = F.abs(F.length(x) - F.length(y)) > longest * (1 - (at_least - 1) / 100)
-    return F.when(x == y, 100.0).when(apart, 0.0).otherwise(near)
+    # so many edits leave less than at_least, if only by rounding; counting stops there
+    most = F.floor(longest * (1 - (at_least - 1) / 100)).cast("int")
+    edits = F.call_function("levenshtein", x, y, most) if at_least else F.levenshtein(x, y)
+    apart = F.abs(F.length(x) - F.length(y)) > most
+    return F.when(x == y, 100.0).when(apart, 0.0).otherwise(F.when(edits < 0, 0.0).otherwise(F.bround((F.lit(1.0) - edits / longest) * 100, 1)))
 
 
 def similarity(a: Column, b: Column) -> Column:

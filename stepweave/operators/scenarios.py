@@ -7,6 +7,8 @@ those; scenarios that share only frequent steps never meet.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +148,8 @@ def match_type(near: Column) -> Column:
 def with_fuzzy_scores(pairs: DataFrame, settings: AnalysisSettings) -> DataFrame:
     """Equal steps, then near ones greedily, in the JVM."""
     rest_a, rest_b, found = greedy(settings)
-    x = pairs.withColumns({"rest_a": rest_a, "rest_b": rest_b}).withColumn("near", found)
+    # computed once: in one projection each use of a column, in each element of an array, would compute it again
+    x = cut(cut(pairs.withColumns({"rest_a": rest_a, "rest_b": rest_b})).withColumn("near", found))
     a, b = F.col("a_step_fps"), F.col("b_step_fps")
     texts = lambda side, key: F.transform("near", lambda m: F.get(F.col(f"{side}_step_texts"), m[key]))
     left = lambda side, key: F.filter(F.transform(f"rest_{side}", lambda i: F.get(F.col(f"{side}_step_texts"), i)), lambda t: ~F.array_contains(texts(side, key), t))
@@ -178,25 +181,53 @@ def duplicate_type(matching: Column, n_a: Column, n_b: Column, overlap: Column,
     )
 
 
+def near_texts(steps: DataFrame, settings: AnalysisSettings) -> DataFrame:
+    """(project, x, y): different texts (project, id, norm, plain), by id, that match, each with itself too. Similar texts have
+    lengths in one or in neighbouring bands, so only those meet; equal norms are joined on."""
+    other = steps.select("project", F.col("id").alias("y"), F.col("norm").alias("y_norm"), F.col("plain").alias("y_plain"))
+    found = steps.select("project", F.col("id").alias("x"), F.col("id").alias("y"))
+    if settings.enable_parameter_agnostic_matching:
+        found = found.union(steps.join(other.withColumn("norm", F.col("y_norm")), ["project", "norm"]).select("project", F.col("id").alias("x"), "y"))
+    if settings.enable_fuzzy_matching:
+        least = settings.fuzzy_match_threshold
+        # a text is at most so many times as long as one that it is similar to
+        ratio = 1 / max((least - 1) / 100, 0.01)
+        band = lambda c: F.floor(F.ln(F.length(c) + 1.0) / math.log(ratio)).cast("int")
+        around = other.withColumn("band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: band("y_plain") + k)))
+        # a band may hold most texts: they are spread beforehand, and stay so if the other side is small enough to broadcast
+        spread = steps.repartition(steps.sparkSession.sparkContext.defaultParallelism * 4, "id")
+        met = spread.withColumn("band", band("plain")).join(around, ["project", "band"])
+        found = found.union(met.where(similarity_of(F.col("plain"), F.col("y_plain"), least) >= least).select("project", F.col("id").alias("x"), "y"))
+    return found.distinct()
+
+
 def candidates(scenarios: DataFrame, settings: AnalysisSettings) -> DataFrame:
-    """(project, a_ord, b_ord) to compare: all of a project, up to max_comparisons_per_project; beyond that those that share a
-    bucket or, with buckets off, those of the first scenarios that the cap allows."""
-    w = Window.partitionBy("project")
+    """(project, a_ord, b_ord) to compare: of all pairs of a project, up to max_comparisons_per_project, beyond that of those that
+    share a bucket or, with buckets off, of the first scenarios that the cap allows, those that can be accepted: as many
+    steps of a as the threshold asks for match a step of b."""
     n = scenarios.groupBy("project").agg(F.count("*").alias("n"))
     large = n.where(F.col("n") * (F.col("n") - 1) / 2 > settings.max_comparisons_per_project).select("project")
-    small = scenarios.join(large, "project", "left_anti")
     big = scenarios.join(large, "project", "left_semi")
     if not settings.enable_bucket_optimization:
-        small = small.unionByName(limited(big, settings))
-    a, b = small.select("project", F.col("ord").alias("a_ord")), small.select("project", F.col("ord").alias("b_ord"))
-    every = a.join(b, "project").where("a_ord < b_ord")
-    return every.unionByName(blocked_pairs(big, settings)) if settings.enable_bucket_optimization else every
+        scenarios = scenarios.join(large, "project", "left_anti").unionByName(limited(big, settings))
+    each = scenarios.select("project", "ord", F.size("step_fps").alias("n"), F.posexplode(F.arrays_zip("norm_texts", "plain_texts")).alias("i", "t"))
+    each = cut(each.select("project", "ord", "n", "i", F.xxhash64("t.norm_texts", "t.plain_texts").alias("id"), F.col("t.norm_texts").alias("norm"), F.col("t.plain_texts").alias("plain")))
+    near = near_texts(each.groupBy("project", "id").agg(F.min("norm").alias("norm"), F.min("plain").alias("plain")), settings)
+    a = each.select("project", F.col("id").alias("x"), F.col("ord").alias("a_ord"), F.col("n").alias("a_n"), "i")
+    b = each.select("project", F.col("id").alias("y"), F.col("ord").alias("b_ord"), F.col("n").alias("b_n")).distinct()
+    met = a.join(near, ["project", "x"]).join(b, ["project", "y"]).where((F.col("a_ord") < F.col("b_ord")) & size_prune(F.col("a_n"), F.col("b_n"), settings.scenario_overlap_threshold))
+    matched = met.groupBy("project", "a_ord", "b_ord").agg(F.count_distinct("i").alias("k"), F.min(F.least("a_n", "b_n")).alias("smaller"))
+    # rounding to one decimal can lift a share by 0.05 to the threshold
+    found = matched.where(F.col("k") * 100.0 >= F.col("smaller") * (settings.scenario_overlap_threshold - 0.06)).select("project", "a_ord", "b_ord")
+    if not settings.enable_bucket_optimization:
+        return found
+    return found.join(large, "project", "left_anti").unionByName(found.join(blocked_pairs(big, settings), ["project", "a_ord", "b_ord"], "left_semi"))
 
 
 def pairs(scenarios: DataFrame, settings: AnalysisSettings) -> DataFrame:
-    """Accepted pairs, among candidates, by equal steps and with fuzzy step matching. Fuzzy matches have no key to join on, so
-    comparing all pairs is quadratic in a project's scenarios up to the cap; without fuzzy and parameter-agnostic matching
-    pairs come from exact_pairs, with no cap."""
+    """Accepted pairs, among candidates, by equal steps and with fuzzy step matching. Different texts of about one length are
+    compared, scenarios only where enough of their texts match; without fuzzy and parameter-agnostic matching pairs
+    come from exact_pairs, with no cap."""
     if not settings.enable_fuzzy_matching and not settings.enable_parameter_agnostic_matching:
         found = exact_pairs(scenarios, settings)
         return found.select(*(c for c in found.columns if c[:2] in ("a_", "b_") or c == "project"), *_exact_scores())
