@@ -101,6 +101,11 @@ def unused(counted: DataFrame) -> DataFrame:
     return counted.where("usage_count = 0 and reason is null").orderBy("path", "line_no")
 
 
+def indeterminate(counted: DataFrame) -> DataFrame:
+    """Bindings without a known use whose expression can't be evaluated, with the reason."""
+    return counted.where("usage_count = 0 and reason is not null").orderBy("path", "line_no")
+
+
 def single_use(counted: DataFrame) -> DataFrame:
     return counted.where("usage_count = 1").orderBy("path", "line_no")
 

@@ -18,7 +18,7 @@ from stepweave.operators import unused as U
 from stepweave.session import local_session
 from stepweave.settings import Settings
 from stepweave.sinks.report import HtmlReporter, Report, TextReporter
-from stepweave.sources import csharp, files
+from stepweave.sources import csharp, dialects, files
 
 
 @dataclass
@@ -53,7 +53,12 @@ def features(spark: SparkSession, settings: Settings) -> Features:
     every = found[0] if found else spark.createDataFrame([], "path string, content string, project string")
     for f in found[1:]:
         every = every.unionByName(f)
-    return Features(G.parse_features(every, settings.analysis).cache())
+    return Features(G.parse_features(every, settings.analysis, _dialects(settings)).cache())
+
+
+def _dialects(settings: Settings) -> dict[str, dialects.Dialect]:
+    path = settings.analysis.dialects_path
+    return dialects.load_dialects(path) if path else dialects.DIALECTS
 
 
 def step_duplicates(found: Features, settings: Settings, reviewed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +84,7 @@ class Coverage:
     summary: DataFrame
     unused: DataFrame
     duplicates: DataFrame
+    indeterminate: DataFrame
 
 
 def coverage_folders(settings: Settings) -> tuple[list[str], list[str]]:
@@ -102,7 +108,7 @@ def coverage(spark: SparkSession, settings: Settings) -> Coverage:
         found, types = B.legacy_bindings(files.with_project(sources)), None
         unconfirmed = M.empty(spark)
     found = found.cache()
-    parsed = G.parse_corpus(files.with_project(files.read_files(spark, feature_roots, "*.feature")), settings.coverage.ignore_tags, settings.coverage.include_ignored_scenarios).cache()
+    parsed = G.parse_corpus(files.with_project(files.read_files(spark, feature_roots, "*.feature")), settings.coverage.ignore_tags, settings.coverage.include_ignored_scenarios, _dialects(settings)).cache()
     steps = G.explode(parsed, "steps")
     compiled = M.compile_bindings(found, types)
     if steps.isEmpty():
@@ -112,7 +118,7 @@ def coverage(spark: SparkSession, settings: Settings) -> Coverage:
     unused = M.unused(counted)
     if path := settings.coverage.known_issues_csv_path:
         unused = M.accepted(unused, files.known_issues(spark, path))
-    return Coverage(counted, unconfirmed, G.explode(parsed, "ignored").orderBy("project", "feature"), M.coverage_summary(counted), unused, M.duplicate_definitions(found))
+    return Coverage(counted, unconfirmed, G.explode(parsed, "ignored").orderBy("project", "feature"), M.coverage_summary(counted), unused, M.duplicate_definitions(found), M.indeterminate(counted))
 
 
 def unused_code(spark: SparkSession, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +153,7 @@ def analyse(spark: SparkSession, settings: Settings) -> Report:
         report.errors = found.rows("errors").collect()
     if settings.coverage.enabled:
         c = coverage(spark, settings)
-        report.coverage, report.unused_steps = c.summary.first(), c.unused.collect()
+        report.coverage, report.unused_steps, report.indeterminate = c.summary.first(), c.unused.collect(), c.indeterminate.collect()
     if settings.unused_code.enabled:
         code, scanned = unused_code(spark, settings)
         report.unused_code, report.scanned = code.collect(), {r["kind"]: r["scanned"] for r in scanned.collect()}

@@ -9,6 +9,9 @@ from pathlib import Path
 from typing import Any
 
 
+DEFAULT_FILE = "appsettings.json"
+
+
 def _words(text: str) -> Any:
     return field(default_factory=text.split)
 
@@ -37,6 +40,8 @@ class AnalysisSettings:
     max_comparisons_per_project: int = 500_000
     enable_bucket_optimization: bool = True
     data_source_search_paths: list[str] = _words("")
+    #: A JSON file of keyword tables; without one English and German are known.
+    dialects_path: str | None = None
 
 
 @dataclass
@@ -78,8 +83,8 @@ class UnusedCodeSettings:
 
 @dataclass
 class Settings:
-    """All settings. load() reads a JSON file whose keys may be in camel or Pascal case; a list in the file extends the
-    default list."""
+    """All settings. load() reads a JSON file whose keys may be in camel or Pascal case, by default DEFAULT_FILE of the
+    current folder if there; a list in the file extends the default list."""
 
     analysis: AnalysisSettings = field(default_factory=AnalysisSettings)
     coverage: CoverageSettings = field(default_factory=CoverageSettings)
@@ -91,7 +96,7 @@ class Settings:
     @classmethod
     def load(cls, path: str | None) -> Settings:
         settings = cls()
-        if not path or not Path(path).exists():
+        if not Path(path := path or DEFAULT_FILE).exists():
             return settings
         found = json.loads(Path(path).read_text(encoding="utf-8-sig"))
         plain = lambda name: name.replace("_", "").lower()

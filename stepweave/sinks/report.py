@@ -27,12 +27,21 @@ class Report:
     errors: list[Row] = field(default_factory=list)
     coverage: Row | None = None
     unused_steps: list[Row] = field(default_factory=list)
+    indeterminate: list[Row] = field(default_factory=list)
     unused_code: list[Row] | None = None
     scanned: dict[str, int] = field(default_factory=dict)
 
     def unused(self, kind: str) -> list[Row]:
         return [r for r in self.unused_code or [] if r["kind"] == kind]
 
+    def percentage(self, kind: str) -> float:
+        """Unused declarations of a kind among those looked at."""
+        scanned = self.scanned.get(kind, 0)
+        return len(self.unused(kind)) * 100 / scanned if scanned else 0.0
+
+    def findings(self) -> int:
+        return len(self.errors) + len(self.unused_steps) + len(self.unused_code or [])
+
 
 class Reporter(Protocol):
     """Writes a report to a folder."""
@@ -86,12 +95,17 @@ class HtmlReporter:
             cards += [("step coverage", f"{report.coverage['coverage']:.1f} %"), ("unused steps", len(report.unused_steps))]
         if report.unused_code is not None:
             cards.append(("unused code", len(report.unused_code)))
-        parts = ["".join(f"<div class=card><b>{html.escape(str(v))}</b> {k}</div>" for k, v in cards)]
+        total = report.findings()
+        parts = [f"<p class=status>{f'{total} to look at' if total else 'nothing to look at'}</p>", "".join(f"<div class=card><b>{html.escape(str(v))}</b> {k}</div>" for k, v in cards)]
         if report.unused_code is not None:
-            parts.append("<h2>Unused code</h2>" + _table(("kind", "name", "place", "note"), [(r["kind"], f"{r['containing']}.{r['signature']}".lstrip("."), f"{short_path(r['path'])}:{r['line_no']}", f"named by a string at {r['hint']}" if r["hint"] else "") for r in report.unused_code]))
+            scanned = ", ".join(f"{report.scanned.get(kind, 0)} {name} ({report.percentage(kind):.1f} % unused)" for kind, name in (("Method", "methods"), ("Class", "classes"), ("Interface", "interfaces")))
+            parts.append(f"<h2>Unused code</h2><p>Looked at {scanned}.</p>" + _table(("kind", "name", "visibility", "place", "note"), [(r["kind"], f"{r['containing']}.{r['signature']}".lstrip("."), r["visibility"], f"{short_path(r['path'])}:{r['line_no']}", f"named by a string at {r['hint']}" if r["hint"] else "") for r in report.unused_code], "All code is in use."))
         if report.coverage is not None:
-            parts.append("<h2>Unused step definitions</h2>" + _table(("type", "pattern", "method", "place"), [(r["type"], r["pattern"], f"{r['class']}.{r['method']}", f"{short_path(r['path'])}:{r['line_no']}") for r in report.unused_steps]))
-        parts.append("<h2>Data errors</h2>" + "".join(self._errors(report.errors)))
+            place = lambda r: (r["type"], r["pattern"], f"{r['class']}.{r['method']}", f"{short_path(r['path'])}:{r['line_no']}")
+            parts.append("<h2>Unused step definitions</h2>" + _table(("type", "pattern", "method", "place"), [place(r) for r in report.unused_steps], "Scenarios use them all."))
+            if report.indeterminate:
+                parts.append("<h2>Step definitions of unknown use</h2>" + _table(("type", "pattern", "method", "place", "reason"), [(*place(r), r["reason"]) for r in report.indeterminate]))
+        parts.append("<h2>Data errors</h2>" + ("".join(self._errors(report.errors)) or "<p>None found.</p>"))
         page = "<!DOCTYPE html><html lang=en><meta charset=utf-8><title>Suite hygiene</title><style>body{font:15px sans-serif;margin:2em}.card{display:inline-block;padding:1em;margin:.3em;background:#eef}table{border-collapse:collapse}td,th{padding:.2em .8em;text-align:left;border-bottom:1px solid #ccc}mark{background:#fc9}</style>"
         return _save(folder, self.file_name, f"{page}<body><h1>Suite hygiene</h1>{''.join(parts)}</body></html>\n")
 
@@ -110,7 +124,10 @@ class HtmlReporter:
         return out
 
 
-def _table(heads: tuple[str, ...], rows: list[tuple]) -> str:
+def _table(heads: tuple[str, ...], rows: list[tuple], empty: str = "") -> str:
+    """An HTML table, or the text empty if there are no rows and one is given."""
+    if empty and not rows:
+        return f"<p>{html.escape(empty)}</p>"
     cells = lambda row, tag: "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in row)
     return f"<table><tr>{cells(heads, 'th')}</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows) + "</table>"
 

@@ -130,3 +130,24 @@ def test_similarity_query_equals_brute_force(spark):
     found = {(r["doc_id"], r["line_no"]): r["similarity"] for r in QUERIES["step_similarity"](spark, DATA).collect()}
     short = {(a["doc_id"], a["line_no"]): text_similarity(a["text"], b["text"]) for rows in by_doc.values() for a, b in zip(rows, rows[1:]) if len(a["text"]) * len(b["text"]) < 4000}
     assert len(found) == sum(len(r) - 1 for r in by_doc.values()) and all(found[k] == v for k, v in short.items())
+
+
+def test_default_settings_file_and_dialects(spark, solution, tmp_path, monkeypatch):
+    (tmp_path / "words.json").write_text('{"fr": {"feature": ["Fonctionnalité"], "scenario": ["Scénario"], "given": ["* ", "Soit "]}}')
+    (tmp_path / "appsettings.json").write_text(f'{{"Analysis": {{"DialectsPath": "{tmp_path}/words.json"}}}}')
+    monkeypatch.chdir(tmp_path)
+    s = Settings.load(None)
+    folder = tmp_path / "s" / "Own"
+    folder.mkdir(parents=True)
+    (folder / "Own.csproj").write_text("<Project/>")
+    (folder / "a.feature").write_text("# language: fr\nFonctionnalité: f\nScénario: un\nSoit une vache\n")
+    s.analysis.solution_paths = [str(tmp_path / "s")]
+    c = features(spark, s).counters().first()
+    assert (c["scenarios"], c["steps"]) == (1, 1)
+
+
+def test_report_says_what_is_clean():
+    from stepweave.sinks.report import Report
+
+    assert Report().percentage("Method") == 0 and Report().findings() == 0
+    assert Report(unused_code=[{"kind": "Method"}], scanned={"Method": 4}).percentage("Method") == 25
