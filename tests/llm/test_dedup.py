@@ -120,6 +120,46 @@ def test_near_pairs_are_complete_at_every_distance(spark):
     assert found == Counter((2 * k, 2 * k + 1, k // 12) for k in range(12 * (simhash.MAX_DISTANCE + 1)))
 
 
+@pytest.mark.parametrize("rows", [100, 1 << 14, 1 << 17])
+def test_some_mask_holds_no_differing_bit(rows):
+    r = np.random.default_rng(7)
+    masks = np.zeros((0, simhash.BITS), bool)
+    for first, bits, mask in simhash.covers(rows):
+        masks = np.vstack([masks, np.zeros(simhash.BITS, bool)])
+        masks[-1, first : first + bits] = [mask >> b & 1 for b in range(bits)]
+    d = simhash.MAX_DISTANCE
+    for k in range(300):
+        # anywhere, next to each other, or in a part of the fingerprint
+        bits = r.choice(simhash.BITS, d, False) if k % 3 == 0 else (np.arange(d) * (k % 5 + 1) + k) % simhash.BITS if k % 3 == 1 else r.choice(60, d, False) + k % 190
+        assert (~masks[:, bits].any(1)).any()
+
+
+def test_links_compare_few_fingerprints_and_no_pair_twice(monkeypatch):
+    r = np.random.default_rng(8)
+    words = r.integers(0, 1 << 64, (23_000, simhash.WORDS), dtype=np.uint64)
+    # 3000 near copies of one, which are 4.5 million pairs
+    words[-3000:] = words[0]
+    words[-3000:, r.integers(0, simhash.WORDS)] ^= np.uint64(1) << r.integers(0, 64, 3000).astype(np.uint64)
+    words[-3000:, 0] ^= r.integers(0, 1 << 12, 3000).astype(np.uint64)
+    compared, real = [], simhash.distances
+    monkeypatch.setattr(simhash, "distances", lambda w, i, j: compared.append(len(i)) or real(w, i, j))
+    monkeypatch.setattr(simhash, "PAIRS", 1 << 14)
+    found = simhash.close_links(words, np.ones(len(words), bool), simhash.covers(len(words)))
+    component = np.flatnonzero(found == found[0])
+    assert component.tolist() == [0, *range(20_000, 23_000)] and (found[1:20_000] == np.arange(1, 20_000)).all()
+    assert sum(compared) < 20 * len(words)
+
+
+def test_near_duplicates_over_several_slices(spark, monkeypatch):
+    rows = near_rows()
+    whole = table(simhash.near_duplicates(docs(spark, rows)), "doc_id", "group_id", "kept")
+    prints = simhash.fingerprints(docs(spark, rows)).withColumnRenamed("doc_id", "rep").localCheckpoint()
+    pairs = table(simhash.near_pairs(prints), "a", "b", "distance")
+    monkeypatch.setattr(simhash, "SLICE", 100)
+    assert table(simhash.near_duplicates(docs(spark, rows)), "doc_id", "group_id", "kept") == whole
+    assert table(simhash.near_pairs(prints), "a", "b", "distance") == pairs
+
+
 def test_near_duplicates_group_copies_and_leave_others(spark):
     found = {r["doc_id"]: (r["group_id"], r["kept"]) for r in simhash.near_duplicates(docs(spark, near_rows())).collect()}
     prints, _ = simhash.fingerprint_column(pa.array([t for _, t in near_rows()]))
