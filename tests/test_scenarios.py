@@ -135,3 +135,41 @@ def test_production_queries_find_varied_scenarios(spark, tmp_path):
     assert found == expected
     assert {(r["a"], r["b"]) for r in QUERIES["scenario_duplicate_type_production"](spark, str(tmp_path)).collect()} == expected.keys()
     assert {r["doc_id"] for r in QUERIES["scenario_groups_ranked_production"](spark, str(tmp_path)).collect()} == {a for a, _ in expected}
+
+
+def by_hand(rows, s):
+    """(a, b) of accepted pairs by equal steps of rows (project, feature, place, steps), all compared."""
+    found, seen = {}, set()
+    for i, (p, f, at, x) in enumerate(rows):
+        for j, (q, g, to, y) in enumerate(rows):
+            shared, n = set(x) & set(y), min(len(x), len(y))
+            if i >= j or p is None or p != q or at == to or n < 3 or f != g and not s.enable_cross_feature_comparison or abs(len(x) - len(y)) > max(len(x), len(y)) * (1.0 - s.scenario_overlap_threshold / 100.0):
+                continue
+            if round(len(shared) / n * 100, 1) >= s.scenario_overlap_threshold and max(sum(t not in shared for t in z) for z in (x, y)) <= s.max_unique_steps_for_duplicate:
+                found[i, j] = p, tuple(sorted((tuple(sorted(x)), tuple(sorted(y))))), [t for t in x if t in shared] == [t for t in y if t in shared]
+    start = {p: min(i for (i, _), v in found.items() if v[0] == p) for p in {v[0] for v in found.values()}}
+    out = {}
+    for (i, j), (p, key, order) in sorted(found.items(), key=lambda v: (start[v[1][0]], v[0])):
+        if key not in seen:
+            seen.add(key)
+            out[i, j] = order
+    return out
+
+
+def test_copies_are_compared_once(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(7)]
+    some = [[r.choice(words) for _ in range(r.randrange(2, 7))] for _ in range(25)]
+    rows = []
+    for _ in range(160):
+        steps = r.choice(some)
+        rows.append((r.choice(["p", "q", None]), r.choice("fg"), r.randrange(60), r.sample(steps, len(steps)) if r.random() < 0.5 else steps))
+    for options in ({}, {"enable_cross_feature_comparison": False}, {"scenario_overlap_threshold": 60}):
+        s = AnalysisSettings(enable_fuzzy_matching=False, enable_parameter_agnostic_matching=False, **options)
+        given = frame(spark, [(p, x) for p, _, _, x in rows]).join(spark.createDataFrame([(i, f, f"/{at}") for i, (_, f, at, _) in enumerate(rows)], "ord long, g string, at string"), "ord")
+        found = D.exact_pairs(given.withColumn("feature", F.col("g")).withColumn("path", F.col("at")), s).collect()
+        assert {(x["a_ord"], x["b_ord"]): x["same_sequence"] for x in found} == by_hand(rows, s)
+    # so many copies have a pair each with each other
+    given = frame(spark, [("p", ABC)] * 300 + [("p", ABC[::-1])] * 300)
+    found = D.kinds(D.located(given, s))
+    assert found.count() == 2 and D.exact_candidates(found, s).count() == 1
