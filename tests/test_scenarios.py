@@ -173,3 +173,26 @@ def test_copies_are_compared_once(spark):
     given = frame(spark, [("p", ABC)] * 300 + [("p", ABC[::-1])] * 300)
     found = D.kinds(D.located(given, s))
     assert found.count() == 2 and D.exact_candidates(found, s).count() == 1
+
+
+def test_large_buckets_are_split_and_pairs_found_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 4)
+    r = random.Random(3)
+    rows = [(p, [r.choice(ABC[:3]) for _ in range(r.randrange(3, 9))]) for p in "ppq" for _ in range(25)]
+    s = AnalysisSettings()
+    given = frame(spark, rows)
+    signature = {x["ord"]: x["s"] for x in given.select("ord", T.step_signature(F.col("step_fps")).alias("s")).collect()}
+    import math
+
+    def buckets(i, p, x):
+        reach = range(math.ceil(len(x) * (80.0 / 100.0)), min(math.floor(len(x) / (80.0 / 100.0)), len(x) + 10) + 1)
+        return {(p, len(x))} | {(p, t, signature[i]) for t in reach}
+
+    own = [buckets(i, *x) for i, x in enumerate(rows)]
+    expected = sorted((rows[i][0], i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if own[i] & own[j])
+    found = D.blocked_pairs(given, s)
+    assert sorted(tuple(x) for x in found.collect()) == expected
+    # ords of two scenarios: still a row for each pair
+    assert D.blocked_pairs(given.union(frame(spark, [(p, x + ABC[:1]) for p, x in rows])), s).groupBy("project", "a_ord", "b_ord").count().where("count > 1").count() == 0
+    most = D.met_in_buckets(spark.range(100).select(F.lit("p").alias("k"), F.col("id").alias("a_ord")), spark.range(100).select(F.lit("p").alias("k"), F.col("id").alias("b_ord")), ["k"])
+    assert most.count() == 4950
