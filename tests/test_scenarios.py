@@ -196,3 +196,57 @@ def test_large_buckets_are_split_and_pairs_found_once(spark, monkeypatch):
     assert D.blocked_pairs(given.union(frame(spark, [(p, x + ABC[:1]) for p, x in rows])), s).groupBy("project", "a_ord", "b_ord").count().where("count > 1").count() == 0
     most = D.met_in_buckets(spark.range(100).select(F.lit("p").alias("k"), F.col("id").alias("a_ord")), spark.range(100).select(F.lit("p").alias("k"), F.col("id").alias("b_ord")), ["k"])
     assert most.count() == 4950
+
+
+def test_fuzzy_pairs_of_copies_and_parts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHUNK", 16)
+    r = random.Random(12)
+    words = "user opens page types word saves file number".split()
+    line = lambda: " ".join(r.choice(words) for _ in range(4))
+    bases = [[line() for _ in range(4)] for _ in range(12)]
+    vary = lambda t: t[:-1] + r.choice("xyz") if r.random() < 0.4 else t
+    rows = [("p", r.sample(b, 4) if r.random() < 0.3 else [vary(t) for t in b]) for b in r.choices(bases, k=70)]
+    rows += r.choices(rows, k=30)
+    one = lambda t: {"step_fps": t, "step_texts": t, "norm_texts": [normalize(x) for x in t]}
+    for options in ({}, {"max_comparisons_per_project": 20}):
+        s, expected, seen = AnalysisSettings(**options), {}, set()
+        for i, (_, x) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y = rows[j][1]
+                key = tuple(sorted((tuple(sorted(x)), tuple(sorted(y)))))
+                if key not in seen and max((m := compare(one(x), one(y), s)).overlap, m.fuzzy) >= 80 and max(len(m.unique_a), len(m.unique_b)) <= 5:
+                    seen.add(key)
+                    expected[i, j] = m.overlap, m.fuzzy, m.match_type, m.additional
+        assert {k: (v["overlap"], v["fuzzy"], v["match_type"], v["additional"]) for k, v in pairs(spark, rows, **options).items()} == expected
+
+
+def test_greedy_matching_is_the_same_from_either_side():
+    r = random.Random(5)
+    s = AnalysisSettings(fuzzy_match_threshold=80.0)
+    one = lambda t: {"step_fps": t, "step_texts": t, "norm_texts": t}
+    for _ in range(400):
+        x, y = ([f"abc{r.choice('xyz')}{r.choice('xyz')}" for _ in range(4)] for _ in "xy")
+        m, w = compare(one(x), one(y), s), compare(one(y), one(x), s)
+        assert (m.overlap, m.fuzzy, m.additional, m.match_type, m.unique_a, m.unique_b) == (w.overlap, w.fuzzy, w.additional, w.match_type, w.unique_b, w.unique_a)
+
+
+def test_bounds_pass_no_similar_scenarios():
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+    from brute import text_similarity
+    from stepweave.operators import filters
+
+    r = random.Random(2)
+    line = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randrange(0, 30))).strip()
+    edit = lambda t: "".join(r.choice("xyz") if r.random() < 0.08 else c for c in t)
+    some = [[line() for _ in range(5)] for _ in range(12)]
+    some += [[edit(t) for t in r.sample(s, 5)] for s in some]
+    batch = pa.RecordBatch.from_pydict({"home": ["h"] * 24, "kind": [str(i) for i in range(24)], "n": pa.array([5] * 24, pa.int32()), "side": pa.array([2] * 24, pa.int32()), "texts": some})
+    plain = [[normalize(t) for t in s] for s in some]
+    table = pa.Table.from_batches(filters.features([batch.set_column(4, "texts", pa.array(plain))]))
+    found = {frozenset(x.values()) for x in filters.candidates(80, 85.0)(table).select(["x", "y"]).to_pylist()}
+    matched = lambda a, b: np.array([[t == u or text_similarity(t, u) >= 85 for u in b] for t in a])
+    whole = {frozenset((str(i), str(j))) for i in range(24) for j in range(i) if max(sum(m[k, q[k]] for k in range(5)) for m in [matched(plain[i], plain[j])] for q in itertools.permutations(range(5))) >= 4}
+    assert whole and whole <= found and len(found) < 100
