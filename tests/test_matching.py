@@ -87,3 +87,17 @@ def test_similarity_column_agrees(spark):
     pairs = [("Given the cat sat", "When a cat sat"), ("buy 5 pens", "buy 15 pens"), ("", ""), ("", "x"), ("the", "a"), ('say "hi"', "say 'no'"), ("größe ä", "grosse a"), ("abcd", "abxd")]
     found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert [(r["a"], r["b"], r["s"]) for r in found] == [(a, b, text_similarity(a, b)) for a, b in pairs]
+
+
+def test_literal_bindings_of_lines_with_two_keywords(spark, tmp_path):
+    import duckdb
+
+    from stepweave.plans.queries import QUERIES, SQL
+
+    text = "And and then some\nand then some\nthen some\nAnd and then some\n* * x\n* x\n^^a$\n^a\nGiven ^^b$\nGiven ^^b$\n(c)\n(c)\n"
+    spark.createDataFrame([(1, text, "en", "s"), (2, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = QUERIES["literal_binding_match"](spark, str(tmp_path)).select("pattern", "usage_count").collect()
+    expected = c.execute(SQL["literal_binding_match"]).fetchall()
+    assert sorted(map(tuple, found)) == sorted(expected) and ("and then some", 4) in expected
