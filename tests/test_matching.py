@@ -101,3 +101,20 @@ def test_literal_bindings_of_lines_with_two_keywords(spark, tmp_path):
     found = QUERIES["literal_binding_match"](spark, str(tmp_path)).select("pattern", "usage_count").collect()
     expected = c.execute(SQL["literal_binding_match"]).fetchall()
     assert sorted(map(tuple, found)) == sorted(expected) and ("and then some", 4) in expected
+
+
+def test_bit_vector_distances_equal_the_table():
+    import random
+    import time
+
+    from stepweave.functions import edits
+
+    r = random.Random(1)
+    some = lambda: "".join(r.choice("abcdé€𝒳 ") for _ in range(r.choice([0, 1, 2, 63, 64, 65, 127, 128, 129, r.randrange(300)])))
+    a, b = [some() for _ in range(150)], [some() for _ in range(150)]
+    b[:30] = [x[:-3] + "qq" for x in a[:30]]
+    assert edits.distances(a, b).tolist() == [edit_distance(x, y) for x, y in zip(a, b)] and len(edits.distances([], [])) == 0
+    # 400 million cells: work that a table cell by cell doesn't do in this time here
+    began = time.perf_counter()
+    edits.distances(["".join(r.choices("abcdefgh ", k=20_000))], ["".join(r.choices("abcdefgh ", k=20_000))])
+    assert time.perf_counter() - began < 20
