@@ -82,11 +82,27 @@ def usages(steps: DataFrame, matched: DataFrame) -> DataFrame:
     return keyed.join(m, (F.col("key") == F.col("m_key")) & F.col("keyword").eqNullSafe(F.col("m_keyword"))).drop("m_key", "m_keyword", "key")
 
 
-def usage_counts(steps: DataFrame, bindings: DataFrame, compiled: DataFrame) -> DataFrame:
-    """bindings with usage_count and reason. Steps are counted by key before the join, so no step row is multiplied."""
+def literal_counts(steps: DataFrame, bindings: DataFrame, compiled: DataFrame) -> DataFrame:
+    """(binding_id, n): how many steps plain-text bindings have. Bindings are few and sent to the steps, which aren't."""
+    plain = bindings.join(compiled.where("is_literal").select("binding_id"), "binding_id").select("binding_id", "type", step_key(F.col("pattern")))
+    met = steps.select(step_key(F.col("text")), "keyword").join(F.broadcast(plain), "key").where(compatible(F.col("type"), F.col("keyword")))
+    return met.groupBy("binding_id").agg(F.count("*").alias("n"))
+
+
+def expression_counts(steps: DataFrame, bindings: DataFrame, compiled: DataFrame) -> DataFrame:
+    """(binding_id, n): how many steps the other bindings have. Steps are counted by key first, so no step row is multiplied."""
     counted = steps.groupBy(step_key(F.col("text")), "keyword").agg(F.min_by("text", F.struct("path", "ord")).alias("text"), F.count("*").alias("n"))
-    matched = matches(counted.select("key", "keyword", "text"), bindings, compiled).withColumnsRenamed({"key": "m_key", "keyword": "m_keyword"})
-    n = counted.join(matched, (F.col("key") == F.col("m_key")) & F.col("keyword").eqNullSafe(F.col("m_keyword"))).groupBy("binding_id").agg(F.sum("n").alias("usage_count"))
+    keys = counted.select("key", "keyword", "text")
+    matched = indexed_matches(keys, bindings, compiled).unionByName(scanned_matches(keys, bindings, compiled)).withColumnsRenamed({"key": "m_key", "keyword": "m_keyword"})
+    return counted.join(matched, (F.col("key") == F.col("m_key")) & F.col("keyword").eqNullSafe(F.col("m_keyword"))).groupBy("binding_id").agg(F.sum("n").alias("n"))
+
+
+def usage_counts(steps: DataFrame, bindings: DataFrame, compiled: DataFrame) -> DataFrame:
+    """bindings with usage_count and reason. Steps are read once for plain-text bindings, and again only if there are others."""
+    n = literal_counts(steps, bindings, compiled)
+    if not compiled.where("regex is not null and not is_literal and kind <> 'never'").isEmpty():
+        n = n.unionByName(expression_counts(steps, bindings, compiled))
+    n = n.groupBy("binding_id").agg(F.sum("n").alias("usage_count"))
     return bindings.join(compiled.select("binding_id", "reason"), "binding_id").join(n, "binding_id", "left").withColumn("usage_count", F.coalesce("usage_count", F.lit(0)).cast("long"))
 
 
