@@ -89,3 +89,17 @@ def test_keywords_are_case_sensitive_in_the_corpus():
     text = "Feature: f\nScenario: s\n* star\nGiven a\nand prose\nAnd\tb\n* c\nThen\n"
     assert [(s["text"], s["keyword"]) for s in CorpusParser([]).parse("p", "a", text)["steps"]] == [("star", None), ("a", "Given"), ("b", "Given"), ("c", "Given")]
     assert [s["text"] for s in parsed(text)["steps"]] == ["a", "prose"]
+
+
+def test_batches_are_parsed_in_pieces_of_few_bytes(spark):
+    import pyarrow as pa
+
+    from stepweave.operators import gherkin as G
+
+    contents = ["x" * 1000] * 1000 + [None, "", "y" * 3_000_000, "z"]
+    batch = pa.RecordBatch.from_pydict({"project": ["p"] * 1004, "path": [str(i) for i in range(1004)], "content": contents})
+    pieces = list(G._pieces(batch)) + list(G._pieces(batch.slice(1000)))
+    assert [v for p in pieces for v in p.column(2).to_pylist()] == contents + contents[1000:]
+    assert all(p.num_rows == 1 or sum(len(v or "") for v in p.column(2).to_pylist()) <= G.PIECE for p in pieces)
+    files = spark.createDataFrame([("p", str(i), f"Feature: f\nScenario: s\nGiven {'a' * 5000} {i}\n") for i in range(300)], "project string, path string, content string").coalesce(1)
+    assert G.explode(G.parse_features(files, AnalysisSettings()), "steps").select("text").distinct().count() == 300
