@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,27 @@ def merged_classes(classes: DataFrame) -> DataFrame:
 
 def binding_status(classes: DataFrame) -> DataFrame:
     """(name, status) of each class (name, has_binding, bases): Confirmed if it or an ancestor binds, else Unconfirmable if
-    an ancestor isn't in the sources, else NotABinding. Walks the base names breadth first, all classes at once; a
-    round adds only pairs not seen, so cycles end."""
-    own = classes.select("name", "has_binding", "bases")
-    reach = cut(own.select("name", F.col("name").alias("ancestor")))
-    frontier, bases = reach, own.select(F.col("name").alias("ancestor"), F.explode("bases").alias("next"))
+    an ancestor isn't in the sources, else NotABinding. What a class is told (binds: true, or unknown: false) it tells those
+    derived from it once, all classes at once, so cycles end; no pairs of class and ancestor are made. Joins are by
+    sort, so that nothing is gathered on the driver."""
+    own = cut(classes.select("name", "has_binding", "bases"))
+    bases = cut(own.where("name is not null").select(F.col("name").alias("child"), F.explode("bases").alias("name")))
+    known_names = own.where("name is not null").select("name").distinct()
+    missing = bases.join(known_names.hint("merge"), "name", "left_anti").select(F.col("child").alias("name"), F.lit(False).alias("binds"))
+    itself = own.where("has_binding is null or has_binding or name is null").select("name", F.coalesce(F.col("has_binding") & F.col("name").isNotNull(), F.lit(False)).alias("binds"))
+    frontier = cut(itself.union(missing).distinct())
+    told = [frontier]
     while not frontier.isEmpty():
-        step = frontier.join(bases, "ancestor").select("name", F.col("next").alias("ancestor")).distinct()
-        frontier = cut(step.join(reach, ["name", "ancestor"], "left_anti"))
-        reach = cut(reach.union(frontier))
-    known = reach.join(own.select(F.col("name").alias("ancestor"), "has_binding"), "ancestor", "left")
-    found = known.groupBy("name").agg(F.bool_or(F.coalesce("has_binding", F.lit(False))).alias("yes"), F.bool_or(F.col("has_binding").isNull()).alias("unknown"))
-    return found.select("name", F.when(F.col("yes"), "Confirmed").when(F.col("unknown"), "Unconfirmable").otherwise("NotABinding").alias("status"))
+        step = bases.join(frontier.hint("merge"), "name").select(F.col("child").alias("name"), "binds").distinct()
+        seen = reduce(DataFrame.union, told)
+        # what is known to bind needs not be told of unknown ancestors
+        frontier = cut(step.join(seen.select("name", F.explode(F.when(F.col("binds"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("binds")).hint("merge"), ["name", "binds"], "left_anti"))
+        told.append(frontier)
+        if len(told) > 5:
+            told = [cut(reduce(DataFrame.union, told).distinct().coalesce(classes.sparkSession.sparkContext.defaultParallelism))]
+    every = reduce(DataFrame.union, told, own.select("name", F.lit(None).cast("boolean").alias("binds")))
+    found = every.groupBy("name").agg(F.bool_or("binds").alias("yes"))
+    return found.select("name", F.when(F.col("yes"), "Confirmed").when(~F.col("yes"), "Unconfirmable").otherwise("NotABinding").alias("status"))
 
 
 def parameter_types(sources: DataFrame) -> dict[str, str]:

@@ -112,3 +112,28 @@ def test_seeds_take_the_nearest_overload(spark):
 def test_lexer():
     kinds = [(t.kind, t.text) for t in csharp.lex('$"a{ F("}") :x}b" @"q""q" \'"\' #if X\n1.5f """\n  r\n  """')]
     assert kinds[0] == ("interpolated", "ab") and ("name", "F") in kinds and ("string", 'q"q') in kinds and ("string", "r") in kinds and kinds[-1][0] == "string"
+
+
+def test_hierarchies_of_any_shape_and_what_the_driver_gets(spark):
+    import random
+
+    from stepweave.operators import bindings as B
+
+    r = random.Random(4)
+    names = [f"c{i}" for i in range(60)]
+    rows = [(n, r.random() < 0.1, r.sample([*names, "gone", "lost"], r.choice([0, 1, 1, 2]))) for n in names] + [("loop", False, ["loop"]), ("own", None, []), ("null", False, [None])]
+    own = {n: (h, b) for n, h, b in rows}
+
+    def status(name):
+        seen, todo = set(), [name]
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += own.get(at, (None, []))[1]
+        if any(own.get(n, (None, []))[0] for n in seen):
+            return "Confirmed"
+        return "Unconfirmable" if any(own.get(n, (None, []))[0] is None for n in seen) else "NotABinding"
+
+    found = B.binding_status(spark.createDataFrame(rows, "name string, has_binding boolean, bases array<string>").repartition(3))
+    assert {x["name"]: x["status"] for x in found.collect()} == {n: status(n) for n in own}
+    assert {"Confirmed", "Unconfirmable", "NotABinding"} == {status(n) for n in own}
